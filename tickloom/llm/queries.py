@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, importance, mixing, packing, simhash
+from . import fingerprint, importance, mixing, packing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_importance": op2_importance,
+    "op3_substrings": op3_substrings,
     "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
     "op9_packing": op9_packing,
