@@ -1,0 +1,107 @@
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+
+from tickloom.llm import lm
+
+from .helpers import AWKWARD, clashing, documents
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def tokens(text):
+    return [*lower(text).encode().split(), None]
+
+
+def held(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
+
+
+def brute(rows):
+    """Scores from plain counters; weights from EM over the exact held-out estimates."""
+    uni, bi = Counter(), Counter()
+    train = [r for r in rows if not held(r[0])]
+    for _, text in train:
+        prev = None
+        for t in tokens(text):
+            uni[t] += 1
+            bi[prev, t] += 1
+            prev = t
+    n, v = sum(uni.values()), len(uni)
+    cls = lambda c: int(math.log2(c + 1))
+    seen = []
+    for _, text in train:
+        prev = None
+        for t in tokens(text):
+            a, b, c = bi[prev, t] - 1, uni[prev] - 1, uni[t] - 1
+            seen.append((cls(b), [a / b if b else 0, c / (n - 1) if n > 1 else 0, 1 / (v + 1), float(c == 0)]))
+            prev = t
+    weights = {c: [0.25] * 4 for c, _ in seen}
+    for _ in range(lm.ROUNDS):
+        sums = {c: [0.5] * 4 for c in weights}
+        for c, p in seen:
+            parts = [w * x for w, x in zip(weights[c], p, strict=True)]
+            for j in range(4):
+                sums[c][j] += parts[j] / sum(parts)
+        weights = {c: [x / sum(s) for x in s] for c, s in sums.items()}
+    out = {}
+    for doc_id, text in rows:
+        prev, base, score, known = None, 0.0, 0.0, 0
+        for t in tokens(text):
+            base += math.log10((uni[t] + 0.1) / (n + 0.1 * (v + 1)))
+            w = weights.get(cls(uni[prev]))
+            known += uni[t] > 0
+            if w:
+                score += math.log10(w[0] * (bi[prev, t] / uni[prev] if uni[prev] else 0) + w[1] * uni[t] / n + w[2] / (v + 1) + w[3] * (uni[t] == 0))
+            else:
+                score = math.nan
+            prev = t
+        out[doc_id] = (held(doc_id), len(tokens(text)), known, n, base, score)
+    return out
+
+
+def corpus(n=250):
+    rnd = random.Random(9)
+    vocab = [f"w{int(rnd.expovariate(0.02))}" for _ in range(3000)]
+    rows = []
+    for i in range(n):
+        words = [rnd.choice(vocab) for _ in range(rnd.randint(0, 60))]
+        rows.append((i, " ".join(x for w in words for x in ([w, "AFTER"] if w in ("w1", "w2") else [w]))))
+    return rows
+
+
+def test_counts_and_base_are_exact_and_score_close(spark):
+    rows = corpus()
+    want = brute(rows)
+    got = lm.score_report(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        flag, n_tokens, known, n, base, score = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (flag, n_tokens, known, n)
+        assert abs(r.base_score - base) < 1e-9 * max(1, abs(base))
+        if not math.isnan(score):
+            assert abs(r.score - score) < 0.01 * abs(score) + 0.01
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_weights_make_a_distribution():
+    codes = np.array([(3 * lm.MOST_STEPS + 5) * lm.MOST_STEPS + 9, (0 * lm.MOST_STEPS) * lm.MOST_STEPS + 0])
+    weights = lm.learn_weights(codes, np.array([1000, 10]), 50)
+    assert np.allclose(weights.sum(axis=1), 1) and (weights > 0).all()
+    assert weights[3, 0] > 0.5 and weights[0, 3] > 0.5
+
+
+def test_awkward_rows(spark):
+    got = lm.score_report(clashing(documents(spark, AWKWARD))).collect()
+    assert len(got) == len(AWKWARD) and all(math.isfinite(r.score) and r.score < 0 for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
+    assert lm.score_report(documents(spark, [])).collect() == []
+    only = next(i for i in range(100) if held(i))
+    rows = lm.score_report(documents(spark, [(only, "a b"), (only, None)])).collect()
+    assert [r.train_tokens for r in rows] == [0, 0] and all(math.isfinite(r.score) for r in rows)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import parallelism
 
 #: Buckets of documents for each shuffle partition; ranges of keys for each.
-BUCKETS, RANGES = 4, 4
+BUCKETS, RANGES = 4, 8
 
 SENT = "r long, b long, n long, keys binary, more binary, counts binary"
 TOTALS = "b long, r long, totals binary"
@@ -60,25 +60,32 @@ def sent(b: int, keys: np.ndarray, more: np.ndarray | None, counts: np.ndarray,
     blob = lambda a, kind: pa.array([a[lo:hi].astype(kind).tobytes() for _, lo, hi in rows] if a is not None else [None] * len(rows), pa.binary())
     number = lambda v: pa.array(v, pa.int64())
     columns = [number([r for r, _, _ in rows]), number([b] * len(rows)), number([hi - lo for _, lo, hi in rows])]
-    return pa.table([*columns, blob(keys, "<u8"), blob(more, "<u4"), blob(counts, "<i8")], ["r", "b", "n", "keys", "more", "counts"])
+    return pa.table([*columns, blob(keys, "<u8"), blob(more, "<u4"), blob(counts, "<u4")], ["r", "b", "n", "keys", "more", "counts"])
 
 
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() or b"" for x in column), kind)
 
 
-def tallied(sent_rows: DataFrame, most: int | None = None) -> DataFrame:
-    """(b, r, totals): totals of each bucket's keys over all buckets, capped at `most`, in the order they were sent."""
+def tallied(sent_rows: DataFrame, most: int | None = None, summary: bool = False) -> DataFrame:
+    """(b, r, totals): totals of each bucket's keys over all buckets, capped at `most`, in the order they were sent.
+
+    With `summary` each range adds a row of bucket -1: its number of keys counted at all, and the sum of their counts.
+    """
     kind = "<i8" if most is None else "u1"
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = _joined(table["keys"], "<u8"), _joined(table["counts"], "<i8")
+        keys, counts = _joined(table["keys"], "<u8"), _joined(table["counts"], "<u4")
         more = _joined(table["more"], "<u4") if table["more"].null_count < len(table) else None
         _, _, sums, place = distinct(keys, more, counts)
         totals = (sums if most is None else np.minimum(sums, most))[place].astype(kind)
         edges = np.cumsum([0, *table["n"].to_pylist()]).tolist()
         blobs = [totals[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)]
-        return pa.table([table["b"], table["r"], pa.array(blobs, pa.binary())], ["b", "r", "totals"])
+        b, r = table["b"].to_pylist(), table["r"].to_pylist()
+        if summary:
+            b, r = [*b, -1], [*r, r[0]]
+            blobs.append(np.array([np.count_nonzero(sums), sums.sum()], "<i8").tobytes())
+        return pa.table([pa.array(b, pa.int64()), pa.array(r, pa.int64()), pa.array(blobs, pa.binary())], ["b", "r", "totals"])
 
     return sent_rows.groupBy("r").applyInArrow(run, TOTALS)
 
