@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, importance, langid, lm, mixing, packing, simhash, substrings
+from . import fingerprint, importance, langid, lm, mixing, multi_index, packing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_report(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_importance": op2_importance,
     "op3_substrings": op3_substrings,
     "op4_mixing": op4_mixing,
+    "op5_multi_index": op5_multi_index,
     "op6_simhash": op6_simhash,
     "op8_lm": op8_lm,
     "op9_packing": op9_packing,
