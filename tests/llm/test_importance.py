@@ -30,20 +30,23 @@ def test_weights_match_plain_loop(spark):
         sets[i] = set(slots.tolist())
         words = text.split()
         assert len(sets[i]) <= len(set(words)) + len(set(zip(words, words[1:], strict=False))) + 8
-    target = {i for i, q, _ in labels if q}
-    t, c = Counter(), Counter()
+    target, other = {i for i, q, _ in labels if q}, {i for i, q, _ in labels if not q}
+    t, u, c = Counter(), Counter(), Counter()
     for i, s in sets.items():
         c.update(s)
         if i in target:
             t.update(s)
-    share = sum(t.values()) / sum(c.values())
+        if i in other:
+            u.update(s)
+    f = sum(t.values()) / sum(c.values())
+    share = sum(t.values()) / (sum(t.values()) + sum(u.values()))
     got = importance.weigh(documents(spark, rows).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     for r in got.collect():
         want = 0.0
         for s in sets[r.doc_id]:
-            e, own = (c[s] - 1) * share, t[s] - (r.doc_id in target)
-            if abs(own - e) >= importance.EVIDENCE * math.sqrt(e + 1):
-                want += math.log((own + importance.SMOOTHING) / (e + importance.SMOOTHING))
+            a, b, e = t[s] - (r.doc_id in target), u[s] - (r.doc_id in other), (c[s] - 1) * f
+            if abs(a - share * (a + b)) >= importance.EVIDENCE * math.sqrt(share * (1 - share) * (a + b) + 1):
+                want += math.log((a + importance.SMOOTHING) / (e + importance.SMOOTHING))
         assert abs(r.weight - want) < 1e-9 and r.n_features == len(sets[r.doc_id])
 
 

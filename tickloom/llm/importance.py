@@ -2,11 +2,13 @@
 
 Words (ASCII lower case) and word pairs are hashed into SLOTS counters, each
 once per document: repeats within a document are no independent evidence. How
-often pairs repeat is a feature of its own, in powers of two. A model
-of the target text is counted on labelled documents (a bounded sample, at most
-`sample` of them, taken by hash) and a model of the raw text on all documents.
-A document's weight is the log ratio of its probability under the two (Xie et
-al., "Data Selection for Language Models via Importance Resampling", 2023). Each
+often pairs repeat is a feature of its own, in powers of two. A model of the
+target text is counted on labelled documents (a bounded sample, at most `sample`
+of them, taken by hash) and a model of the raw text on all documents. A document's
+weight is the log ratio of its probability under the two (Xie et al., "Data
+Selection for Language Models via Importance Resampling", 2023); the models count
+as equal where the labelled documents, target and others, give no evidence: words
+of a group of copies that has no labels are no sign of bad text. Each
 weight gets Gumbel noise seeded by the document's id, and the k largest sums are
 a sample without replacement in proportion to the weights. k is the number of
 documents whose weight is at least the (1 - KEEP) quantile of the labelled
@@ -40,7 +42,7 @@ from .common import hash_spans, materialize, mix64, sized_batches, text_buffer,
 
 BITS = 20
 SLOTS = 1 << BITS
-#: Labelled documents that the target model is counted on, at most.
+#: Labelled documents that are counted, at most.
 SAMPLE = 20_000
 #: Counts added to what the target model has and to what it would have if it were the raw model.
 SMOOTHING = 0.5
@@ -75,44 +77,53 @@ def _keys(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     return text << BITS | (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _counts(flagged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of the target documents and of all, summed over the cluster; SLOTS rows reach the driver."""
+def _counts(flagged: DataFrame) -> np.ndarray:
+    """Counters of the target documents, of other labelled ones and of all, summed over the cluster; SLOTS rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SLOTS), np.int64)
+        total = np.zeros((3, SLOTS), np.int64)
         for batch in sized_batches(batches, "text"):
             slots, text = features(batch.column("text"))
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)[text]
-            total[0] += np.bincount(slots[target], minlength=SLOTS)
-            total[1] += np.bincount(slots, minlength=SLOTS)
-        some = np.flatnonzero(total[1])
-        yield pa.record_batch([pa.array(x) for x in (some, total[0][some], total[1][some])], ["slot", "target", "raw"])
+            label = _labels(batch)[text]
+            for row, some in zip(total, (label == 1, label == 0, slice(None)), strict=True):
+                row += np.bincount(slots[some], minlength=SLOTS)
+        some = np.flatnonzero(total[2])
+        yield pa.record_batch([pa.array(x) for x in (some, *total[:, some])], ["slot", *NAMES])
 
-    sums = flagged.select("text", "target").mapInArrow(run, "slot long, target long, raw long").groupBy("slot").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
-    found = sums.toArrow()
-    out = np.zeros((2, SLOTS))
-    out[:, found["slot"].to_numpy()] = found["target"].to_numpy(), found["raw"].to_numpy()
-    return out[0], out[1]
+    sums = flagged.select("text", "label").mapInArrow(run, "slot long, target long, other long, raw long")
+    found = sums.groupBy("slot").agg(*[F.sum(c).alias(c) for c in NAMES]).toArrow()
+    out = np.zeros((3, SLOTS))
+    out[:, found["slot"].to_numpy()] = [found[c].to_numpy() for c in NAMES]
+    return out
 
 
-def log_weights(slots: np.ndarray, text: np.ndarray, is_target: np.ndarray, target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+NAMES = ("target", "other", "raw")
+
+
+def _labels(batch: pa.RecordBatch) -> np.ndarray:
+    """1 for documents of the target model, 0 for other labelled ones, -1 for the rest."""
+    return batch.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def log_weights(slots: np.ndarray, text: np.ndarray, label: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Log ratio of each text under the two models, without its own features.
 
     A slot with raw count c has the ratio (t + a) / (f * c + a), where t is its
     target count and f the target's share of all features: what the target model
-    saw against what it would have seen were it the raw model. Where the two
-    differ by less than chance explains (EVIDENCE standard deviations) the
-    models are taken as equal: else the logarithms of many rare slots' ratios,
-    negative on average, would outweigh what is known.
+    saw against what it would have seen were it the raw model. Where target and
+    other labelled documents hold the slot as chance would have it (up to EVIDENCE
+    standard deviations) the ratio is 1: else the logarithms of many rare slots'
+    ratios, negative on average, would outweigh what is known.
     """
-    n = len(is_target)
-    if not len(slots) or not target.sum():
+    n = len(label)
+    target, other, raw = counts.sum(axis=1)
+    if not len(slots) or not target:
         return np.zeros(n)
-    t = target[slots] - is_target[text]
-    c = raw[slots] - 1
-    expected = c * (target.sum() / raw.sum())
-    ratio = np.log((t + SMOOTHING) / (expected + SMOOTHING))
-    ratio[np.abs(t - expected) < EVIDENCE * np.sqrt(expected + 1)] = 0
+    own = label[text]
+    t, u, c = counts[0, slots] - (own == 1), counts[1, slots] - (own == 0), counts[2, slots] - 1
+    ratio = np.log((t + SMOOTHING) / (c * (target / raw) + SMOOTHING))
+    share = target / (target + other)
+    ratio[np.abs(t - share * (t + u)) < EVIDENCE * np.sqrt(share * (1 - share) * (t + u) + 1)] = 0
     return np.bincount(text, ratio, n)
 
 
@@ -123,22 +134,20 @@ def gumbel(doc_id: Column, seed: int) -> Column:
 
 
 def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, target (counted on for the target model), n_features, weight for every row of docs."""
-    good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    chosen = good.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("chosen"))
-    flagged = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen"], "left").select("doc_id", "text", F.col("chosen").isNotNull().alias("target"))
-    target, raw = _counts(flagged)
+    """doc_id, label (1: counted on for the target model, 0: as other, null), n_features, weight for every row of docs."""
+    judged = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).cast("int").alias("label"))
+    chosen = judged.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "chosen")
+    flagged = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen"], "left").select("doc_id", "text", "label")
+    counts = _counts(flagged)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text"):
             slots, text = features(batch.column("text"))
-            is_target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            weight = log_weights(slots, text, is_target, target, raw)
-            counts = np.bincount(text, minlength=batch.num_rows)
-            columns = [batch.column("doc_id"), batch.column("target"), pa.array(counts), pa.array(weight)]
-            yield pa.record_batch(columns, ["doc_id", "target", "n_features", "weight"])
+            weight = log_weights(slots, text, _labels(batch), counts)
+            n_features = np.bincount(text, minlength=batch.num_rows)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(n_features), pa.array(weight)], ["doc_id", "label", "n_features", "weight"])
 
-    kinds = [("target", T.BooleanType()), ("n_features", T.LongType()), ("weight", T.DoubleType())]
+    kinds = [("label", T.IntegerType()), ("n_features", T.LongType()), ("weight", T.DoubleType())]
     return flagged.mapInArrow(run, T.StructType([docs.schema["doc_id"], *[T.StructField(*k) for k in kinds]]))
 
 
@@ -172,7 +181,7 @@ def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float
     """doc_id, n_features, weight, key, selected for every row of docs."""
     weighed = weigh(docs.select("doc_id", "text"), labels, sample)
     rows = materialize(weighed.withColumn("key", F.col("weight") + gumbel(F.col("doc_id"), seed)))
-    least = rows.filter("target").agg(F.percentile("weight", F.lit(1 - keep))).first()[0]  # of `sample` rows at most
+    least = rows.filter("label = 1").agg(F.percentile("weight", F.lit(1 - keep))).first()[0]  # of `sample` rows at most
     k = rows.filter(F.col("weight") >= F.lit(least)).count() if least is not None else rows.count()
     bound = kth_largest(rows, k)
     return rows.select("doc_id", "n_features", "weight", "key", (F.col("key") >= F.lit(bound) if bound is not None else F.lit(False)).alias("selected"))
