@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, importance, langid, lm, mixing, multi_index, packing, simhash, substrings
+from . import fingerprint, html_text, importance, langid, lm, mixing, multi_index, packing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_report(_table(spark, sf_dir, "pages"))
+
+
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_report(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_multi_index": op5_multi_index,
     "op6_simhash": op6_simhash,
+    "op7_html_text": op7_html_text,
     "op8_lm": op8_lm,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,

@@ -23,7 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
@@ -145,6 +145,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that stay when one document of each component does: that of the smallest doc_id.
+
+    Of rows with one doc_id the first by text stays; rows without doc_id all stay.
+    """
+    names = near_duplicates(docs.select("doc_id", "text"), **how)
+    firsts = names.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
+    kept = docs.join(firsts, F.col("doc_id") == F.col("__first"), "left_semi")
+    kept = kept.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("__k = 1").drop("__k")
+    return kept.union(docs.filter("doc_id IS NULL"))
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
