@@ -28,7 +28,7 @@ from .common import materialize, mix64
 
 LIMIT, END_ID = 4096, 2
 #: Documents of a group on average, and words whose ids a worker remembers.
-GROUP, REMEMBERED = 4096, 400_000
+GROUP, REMEMBERED = 4096, 1_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -93,11 +93,11 @@ class WordTokenizer:
         """Each text's ids as unsigned little-endian 32-bit numbers."""
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         known = self.words
-        missing = {w for words in split for w in words if w not in known}
+        missing = set().union(*split).difference(known)
         if len(known) + len(missing) > REMEMBERED:
             known.clear()
             self.units = {"": b""}
-            missing = {w for words in split for w in words}
+            missing = set().union(*split)
         if missing:
             self._learn(missing)
         for words in split:
