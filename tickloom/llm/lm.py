@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropping_shuffles, hashed_words, materialize, mix64, parallelism, text_buffer
-from .tally import RANGES, bucketed, distinct, gather, sent, tallied, totals_of, with_totals
+from .common import dropping_shuffles, hashed_words, materialize, mix64, text_buffer
+from .tally import bucketed, distinct, sent, tallied, totals_of
 
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Added to each count of the smoothed unigram score.
@@ -150,19 +150,19 @@ def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text") -> D
     docs has a boolean column `held_out` without nulls; the other documents train the model.
     """
     spark = docs.sparkSession
-    rows = bucketed(docs.withColumnRenamed(held_out, "held_out"), text)
-    totals = materialize(tallied(gather(rows, _count), summary=True))
-    tokens = totals.filter(f"b = -1 AND r < {RANGES * parallelism(spark) // 8}")  # those of single tokens
+    dealt = bucketed(docs.withColumnRenamed(held_out, "held_out"), text)
+    totals = materialize(tallied(dealt.gather(_count), summary=True))
+    tokens = totals.filter(f"b = -1 AND r < {dealt.ranges // 8}")  # those of single tokens
     sums = np.array([np.frombuffer(r.totals, "<i8") for r in tokens.select("totals").collect()]).reshape(-1, 2).sum(axis=0)
     n_types, n = int(sums[0]), int(sums[1])
     totals = totals.filter("b >= 0")
     with dropping_shuffles(spark):
-        seen = with_totals(rows, totals, lambda table, t: _held_out_table(table, t, n), "code long, n long")
+        seen = dealt.with_totals(totals, lambda table, t: _held_out_table(table, t, n), "code long, n long")
         seen = seen.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     weights = learn_weights(seen["code"].to_numpy(), seen["n"].to_numpy(), n_types)
     kinds = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
-    schema = T.StructType([rows.schema["row"], *[T.StructField(*k) for k in kinds]])
-    out = with_totals(rows, totals, lambda table, t: _score(table, t, n, n_types, weights), schema)
+    schema = T.StructType([dealt.rows.schema["row"], *[T.StructField(*k) for k in kinds]])
+    out = dealt.with_totals(totals, lambda table, t: _score(table, t, n, n_types, weights), schema)
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
 

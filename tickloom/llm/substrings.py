@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hashed_words, mix64, parallelism, text_buffer, text_slices, window_hashes
-from .tally import RANGES, SENT, bucketed, distinct, gather, sent, tallied, totals_of, with_totals
+from .common import hashed_words, mix64, text_buffer, text_slices, window_hashes
+from .tally import SENT, bucketed, distinct, sent, tallied, totals_of
 
 WINDOW = 35
 #: A perfect difference set: every residue but 0 is the difference of exactly one pair.
@@ -103,7 +103,7 @@ def _send_windows(table: pa.Table, totals: pa.Table, ranges: int) -> pa.Table:
     return sent(table["b"][0].as_py(), keys, more, np.minimum(counts, 2), ranges)
 
 
-def _strip(table: pa.Table, totals: pa.Table) -> pa.Table:
+def _strip(table: pa.Table, totals: pa.Table, as_it_was: bool) -> pa.Table:
     """n_words, n_removed and the kept words of a bucket's texts; totals of anchors and windows come together."""
     part = lambda kind: totals.filter(pc.equal(totals["kind"], kind))
     first, second, starts = _candidates(table, part(0))
@@ -121,20 +121,24 @@ def _strip(table: pa.Table, totals: pa.Table) -> pa.Table:
             gone = _covered(at, at + WINDOW, len(words))
             words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
         n_removed.append(n_words[-1] - len(words))
-        kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+        whole = as_it_was and not n_removed[-1]
+        kept.append(text.as_py() if whole else b" ".join(words).decode("utf-8", "surrogatepass"))
     return pa.table([table["row"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
 
-def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """row (a struct of the columns of docs but the text), n_words, n_removed, kept (words joined by one space) for every row."""
-    rows = bucketed(docs, text)
-    ranges = RANGES * parallelism(docs.sparkSession)
-    anchors = tallied(gather(rows, _send_anchors), most=2)
-    windows = tallied(with_totals(rows, anchors, lambda table, totals: _send_windows(table, totals, ranges), SENT), most=2)
+def without_repeats(docs: DataFrame, text: str = "text", as_it_was: bool = False) -> DataFrame:
+    """row (a struct of the columns of docs but the text), n_words, n_removed, kept (words joined by one space) for every row.
+
+    With as_it_was, kept is the text itself, or null, where nothing is removed.
+    """
+    dealt = bucketed(docs, text)
+    ranges = dealt.ranges
+    anchors = tallied(dealt.gather(_send_anchors), most=2)
+    windows = tallied(dealt.with_totals(anchors, lambda table, totals: _send_windows(table, totals, ranges), SENT), most=2)
     both = anchors.withColumn("kind", F.lit(0)).union(windows.withColumn("kind", F.lit(1)))
     kinds = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())]
-    schema = T.StructType([rows.schema["row"], *[T.StructField(*k) for k in kinds]])
-    return with_totals(rows, both, _strip, schema)
+    schema = T.StructType([dealt.rows.schema["row"], *[T.StructField(*k) for k in kinds]])
+    return dealt.with_totals(both, lambda table, totals: _strip(table, totals, as_it_was), schema)
 
 
 def removal_report(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ shuffle partitions, not from the content.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +20,43 @@ from pyspark.sql import functions as F
 
 from .common import parallelism
 
-#: Buckets of documents for each shuffle partition; ranges of keys for each.
+#: Buckets of documents, and ranges of keys, for each shuffle partition at most.
 BUCKETS, RANGES = 4, 8
+#: Packed arrays that a document brings along at most: buckets times ranges stay in proportion to the documents.
+PACKED = 2
 
 SENT = "r long, b long, n long, keys binary, more binary, counts binary"
 TOTALS = "b long, r long, totals binary"
 
 
-def bucketed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """b (bucket), text and row (a struct of the other columns) of each row; copies and equal ids are spread over the buckets.
+class Dealt(NamedTuple):
+    """Documents by bucket: rows has b (bucket), text and row (a struct of the other columns).
 
-    A plan that uses this table several times deals the texts out once: equal exchanges are shared.
+    A plan that uses rows several times deals the texts out once: equal exchanges are shared.
     """
-    n = parallelism(docs.sparkSession)
+
+    rows: DataFrame
+    ranges: int
+
+    def gather(self, count: Callable[[pa.Table, int], pa.Table]) -> DataFrame:
+        """SENT rows of every bucket; count(documents of a bucket, number of ranges) makes them with `sent`."""
+        ranges = self.ranges
+        return self.rows.groupBy("b").applyInArrow(lambda table: count(table, ranges), SENT)
+
+    def with_totals(self, totals: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+        """use(documents of a bucket, its totals) for every bucket that has documents."""
+        return self.rows.groupBy("b").cogroup(totals.groupBy("b")).applyInArrow(use, schema)
+
+
+def bucketed(docs: DataFrame, text: str = "text") -> Dealt:
+    """Deals all rows of docs out; copies and equal ids are spread over the buckets. Counts docs, which for files reads no texts."""
+    n, partitions = docs.count(), parallelism(docs.sparkSession)
+    buckets = max(1, min(BUCKETS * partitions, n // 16))
+    ranges = 8 * max(1, min(RANGES * partitions, PACKED * n // buckets) // 8)
     others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
-    spread = F.xxhash64(F.monotonically_increasing_id())
-    return docs.select(F.pmod(spread, F.lit(BUCKETS * n)).alias("b"), F.col(f"`{text}`").alias("text"), others.alias("row")).repartition(n, "b")
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets))
+    rows = docs.select(spread.alias("b"), F.col(f"`{text}`").alias("text"), others.alias("row"))
+    return Dealt(rows.repartition(partitions, "b"), ranges)
 
 
 def distinct(keys: np.ndarray, more: np.ndarray | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
@@ -93,14 +115,3 @@ def tallied(sent_rows: DataFrame, most: int | None = None, summary: bool = False
 def totals_of(table: pa.Table, kind: str) -> np.ndarray:
     """A bucket's totals in the order of its distinct keys."""
     return _joined(table.sort_by("r")["totals"], kind)
-
-
-def gather(rows: DataFrame, count: Callable[[pa.Table, int], pa.Table]) -> DataFrame:
-    """SENT rows of every bucket; count(documents of a bucket, number of ranges) makes them with `sent`."""
-    ranges = RANGES * parallelism(rows.sparkSession)
-    return rows.groupBy("b").applyInArrow(lambda table: count(table, ranges), SENT)
-
-
-def with_totals(rows: DataFrame, totals: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
-    """use(documents of a bucket, its totals) for every bucket that has documents."""
-    return rows.groupBy("b").cogroup(totals.groupBy("b")).applyInArrow(use, schema)
