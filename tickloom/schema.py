@@ -1,0 +1,9 @@
+"""Schemas of the records: ticks, candles, return points, correlations. Times are epoch milliseconds."""
+
+TICK = "key string, time bigint, bid double, ask double, is_live boolean"
+STATE = "struct<time: bigint, ask: double, bid: double, is_live: boolean>"
+CANDLE = f"key string, close_time bigint, open {STATE}, close {STATE}, min_ask {STATE}, max_ask {STATE}, min_bid {STATE}, max_bid {STATE}, is_live boolean"
+FLAT_CANDLE = "key string, close_time bigint, open_state_time bigint, close_state_time bigint, min_ask_price double, max_ask_price double, min_bid_price double, max_bid_price double"
+POINT = "struct<key: string, time: bigint, value: double>"
+RETURN = "key string, time bigint, value double"
+CORRELATION = f"time bigint, key string, value double, x_count int, y_count int, is_nan boolean, window string, x_values array<{POINT}>, y_values array<{POINT}>"
