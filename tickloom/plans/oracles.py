@@ -121,6 +121,7 @@ ORACLES: dict[str, str] = {
     "candles_without_leading_gaps": candles(EVENTS, HOUR // 4, QUARTER, skip=True) + " " + FLAT,
     "lineitem_candles": candles(ticks("lineitem"), 7 * DAY, LINES) + " " + FLAT,
     "orders_priority_candles": candles(ticks("orders"), 7 * DAY, PRIORITIES) + " " + FLAT,
+    "stream_candles": candles(EVENTS, HOUR, TYPES) + " " + FLAT,
     "end_of_time_filter": candles(EVENTS, HOUR, TYPES) + " " + FLAT,
     "log_returns": HOURLY + f" SELECT key, close_time, time, {rounded('value')} AS value FROM x",
     "sliding_points": sliding(HOURLY, DAY, DAY // 4) + " SELECT w_start, key, count(*) AS n_points, min(time) AS first_time, max(time) AS last_time FROM s GROUP BY ALL",

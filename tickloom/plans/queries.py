@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import sources
+from .. import sources, streaming
 from ..config import CandleConfig, CorrelationConfig
 from ..functions import window_last
 from ..operators import candles as C
@@ -215,6 +215,11 @@ def sparse_user_correlations(spark, sf):
     return _rounded(R.correlations(points, replace(cfg, pairs="configured", keys=users)))
 
 
+def stream_candles(spark, sf):
+    """Events replayed as a stream to the end; the same candles as in batch."""
+    return streaming.replay(sources.event_ticks(spark, sf), HOURLY)
+
+
 def demo_correlations(spark, sf):
     """The demo's four regular series end to end; needs no table."""
     ticks = sources.demo_ticks(spark).filter("key <> 'TS-5'")
@@ -229,6 +234,6 @@ QUERIES: dict[str, Query] = {
         pearson_all_pairs, ticks_assign_time, ticks_printed, ticks_total, tumbling_count, distinct_keys_per_window, missing_keys_per_window, generated_ticks, complete_ticks_union,
         partial_candles, partial_candles_bid_ask, partial_candles_bid_by_ask, window_end_stamp, complete_candles, sparse_candles, candles_without_leading_gaps, lineitem_candles,
         orders_priority_candles, end_of_time_filter, log_returns, sliding_points, work_packets, pair_keys_configured, pair_points_observed, pearson_thresholded, pearson_nan_policy,
-        pearson_nan_dropped, pearson_partitioned, pearson_by_position, pearson_matrix, pearson_underlying, candles_by_key_sorted, corr_by_time, sparse_user_correlations, demo_correlations,
+        pearson_nan_dropped, pearson_partitioned, pearson_by_position, pearson_matrix, pearson_underlying, candles_by_key_sorted, corr_by_time, sparse_user_correlations, stream_candles, demo_correlations,
     )
 }
