@@ -92,10 +92,11 @@ def stream_candles(ticks: DataFrame, cfg: CandleConfig, lateness: str = "0 secon
     return done.filter(F.col("close_time") < END_OF_TIME)
 
 
-def replay(ticks: DataFrame, cfg: CandleConfig, steps: int = 3) -> DataFrame:
-    """Ticks of a bounded table as a stream, in order of time and `steps` files, to the end; the candles it gave.
+def replay(ticks: DataFrame, cfg: CandleConfig, steps: int = 2, partitions: int = 4) -> DataFrame:
+    """Ticks of a bounded table as a stream, in order of time and `steps` runs, to the end; the candles it gave.
 
-    For tests and backfills. Source, checkpoints and results lie in the session's shared folder.
+    For tests and backfills. Source, checkpoints and results lie in the session's shared folder. The state of each
+    step lies in `partitions` parts, which stay as they are for the life of a stream.
     """
     spark = ticks.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -109,9 +110,11 @@ def replay(ticks: DataFrame, cfg: CandleConfig, steps: int = 3) -> DataFrame:
     width = (high - low) // steps + 1
     sentinel = spark.createDataFrame([(SENTINEL, END_OF_TIME + 10 * cfg.candle_ms, 0.0, 0.0, 0, False)], TICKS)
     out = f"{root}/out"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    settings = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         for i in range(steps + 1):  # one file and one run for each step, as ticks would arrive
             part = sentinel if i == steps else ticks.filter((F.col("time") >= low + i * width) & (F.col("time") < low + (i + 1) * width))
             part.select(*names).coalesce(1).write.mode("append").parquet(f"{root}/in")
@@ -119,8 +122,6 @@ def replay(ticks: DataFrame, cfg: CandleConfig, steps: int = 3) -> DataFrame:
             query = stream_candles(source, cfg).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
             query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(FLAT).parquet(out)
