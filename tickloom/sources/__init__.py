@@ -89,3 +89,16 @@ def candles_by_key(candles: DataFrame) -> DataFrame:
 def correlations_by_time(correlations: DataFrame) -> DataFrame:
     """Each window's correlations as one array ordered by pair, for inspection."""
     return correlations.groupBy("time").agg(F.array_sort(F.collect_list(F.struct("key", "value", "is_nan"))).alias("correlations"))
+
+
+def json_lines(records: DataFrame) -> DataFrame:
+    """One line of JSON for each record, nested candles and arrays included."""
+    return records.select(F.to_json(F.struct("*")).alias("line"))
+
+
+def stream_of_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Ticks from Parquet files as they arrive in a folder; at most max_files a batch."""
+    reader = spark.readStream.schema(TICKS)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
