@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": mixing.REPORT_SQL}
+ORACLES: dict[str, str] = {"op3_substrings": substrings.REPORT_SQL, "op4_mixing": mixing.REPORT_SQL}

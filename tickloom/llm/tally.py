@@ -23,7 +23,7 @@ from .common import parallelism
 #: Buckets of documents, and ranges of keys, for each shuffle partition at most.
 BUCKETS, RANGES = 4, 8
 #: Packed arrays that a document brings along at most: buckets times ranges stay in proportion to the documents.
-PACKED = 2
+PACKED = 1
 
 SENT = "r long, b long, n long, keys binary, more binary, counts binary"
 TOTALS = "b long, r long, totals binary"
