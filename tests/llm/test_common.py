@@ -48,3 +48,10 @@ def test_materialize_leaves_no_shuffle_files(spark):
     assert files() <= before
     assert out.count() == 7
     assert spark.conf.get(common._CLEANUP, None) in (None, "false")
+
+
+def test_discard_deletes_what_was_written(spark):
+    path = common.materialize(spark.range(3)).inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert glob.glob(f"{path}/*.parquet")
+    assert common.discard(spark) >= 1 and not glob.glob(f"{path}/*.parquet")
+    assert common.discard(spark) == 0

@@ -65,9 +65,22 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     with dropping_shuffles(spark):
         df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that `materialize` has written so far; call it when results that read them are written."""
+    n, jvm = len(_WRITTEN), spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number that is set to fit the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
