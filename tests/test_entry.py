@@ -47,5 +47,6 @@ def test_outputs(spark):
 def test_plan_reads_only_needed_columns(spark, tmp_path):
     """The candle scan prunes columns, and nothing in the chain needs a cross join."""
     spark.createDataFrame([(1, "a", 1.0, "wide")], "event_id long, event_type string, value double, props string").selectExpr("*", "timestamp_ntz'2024-01-01' ts").write.parquet(f"{tmp_path}/events.parquet")
-    plan = queries.complete_candles(spark, str(tmp_path))._jdf.queryExecution().toString()
+    ticks = sources.event_ticks(spark, str(tmp_path))
+    plan = C.build_candles(ticks, queries.QUARTERLY, reuse=False)._jdf.queryExecution().toString()
     assert "props" not in plan.split("== Physical Plan ==")[1] and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import CandleConfig
 from ..functions import state, window_last, window_start
+from ..tables import written
 
 #: Candles from here on are flushes of an endless window (a far-future sentinel), not data.
 END_OF_TIME = 32_530_703_764_000
@@ -102,9 +103,15 @@ def before_end_of_time(candles: DataFrame) -> DataFrame:
     return candles.filter(F.col("close_time") < END_OF_TIME)
 
 
-def build_candles(ticks: DataFrame, cfg: CandleConfig) -> DataFrame:
-    """All steps: ticks to complete candles, without flushes of an endless window."""
-    return before_end_of_time(complete_candles(with_gaps(partial_candles(ticks, cfg), cfg), cfg))
+def build_candles(ticks: DataFrame, cfg: CandleConfig, reuse: bool = True) -> DataFrame:
+    """All steps: ticks to complete candles, without flushes of an endless window.
+
+    With `reuse` the partial candles are written once, so that ticks are scanned once: gaps need the windows and keys
+    of all candles, and later steps read candles several times. Without it all is one lazy plan.
+    """
+    partials = partial_candles(ticks, cfg)
+    partials = written(partials) if reuse else partials
+    return before_end_of_time(complete_candles(with_gaps(partials, cfg), cfg))
 
 
 def flat(candles: DataFrame) -> DataFrame:

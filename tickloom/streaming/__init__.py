@@ -10,7 +10,6 @@ a far-future sentinel tick so that the last windows close too, and filters it ou
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -23,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..config import CandleConfig
 from ..operators.candles import END_OF_TIME
 from ..sources import TICKS
+from ..tables import shared_folder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FLAT = "key string, close_time bigint, open_state_time bigint, close_state_time bigint, open_ask double, close_ask double, close_is_live boolean, min_ask_price double, max_ask_price double, min_bid_price double, max_bid_price double"
@@ -99,10 +99,10 @@ def replay(ticks: DataFrame, cfg: CandleConfig, steps: int = 2, partitions: int
     step lies in `partitions` parts, which stay as they are for the life of a stream.
     """
     spark = ticks.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
+    shared = shared_folder(spark)
+    if shared is None:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = f"{(shared or tempfile.mkdtemp(prefix='replay-')).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    root = f"{shared}/replay-{uuid.uuid4().hex}"
     names = ["key", "time", "ask", "bid", "id", "is_live"]
     low, high = ticks.agg(F.min("time"), F.max("time")).first()
     if low is None:
