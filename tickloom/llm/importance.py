@@ -9,10 +9,12 @@ weight is the log ratio of its probability under the two (Xie et al., "Data
 Selection for Language Models via Importance Resampling", 2023); the models count
 as equal where the labelled documents, target and others, give no evidence: words
 of a group of copies that has no labels are no sign of bad text. Each
-weight gets Gumbel noise seeded by the document's id, and the k largest sums are
-a sample without replacement in proportion to the weights. k is the number of
-documents whose weight is at least the (1 - KEEP) quantile of the labelled
-target documents' weights, so that about that share of target documents stays.
+weight is tempered to TEMPER features, so that long documents are judged by what
+they hold and not by how much, and gets Gumbel noise seeded by the document's id;
+the k largest sums are a sample without replacement in proportion to the tempered
+ratios. k is the number of documents whose tempered weight is at least the
+(1 - KEEP) quantile of the labelled target documents', so that about that share
+of target documents stays.
 A document's own features are left out of both models when it is weighed, so
 that a feature of this document alone says nothing and labelled documents gain
 no advantage.
@@ -49,7 +51,9 @@ SMOOTHING = 0.5
 #: Standard deviations from which a slot's counts tell target from raw.
 EVIDENCE = 3.0
 #: Share of the target documents that selection keeps, about.
-KEEP = 0.99
+KEEP = 0.995
+#: Features that every document's ratio is tempered to, and features without evidence that each is given besides.
+TEMPER, PRIOR = 1000, 10
 #: A word pair that a document holds so often counts as repeated.
 REPEATED = 4
 SEED = 11
@@ -178,13 +182,14 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
 
 
 def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """doc_id, n_features, weight, key, selected for every row of docs."""
+    """doc_id, n_features, weight, tempered, key, selected for every row of docs."""
     weighed = weigh(docs.select("doc_id", "text"), labels, sample)
-    rows = materialize(weighed.withColumn("key", F.col("weight") + gumbel(F.col("doc_id"), seed)))
-    least = rows.filter("label = 1").agg(F.percentile("weight", F.lit(1 - keep))).first()[0]  # of `sample` rows at most
-    k = rows.filter(F.col("weight") >= F.lit(least)).count() if least is not None else rows.count()
+    tempered = weighed.withColumn("tempered", F.lit(float(TEMPER)) * F.col("weight") / (F.col("n_features") + PRIOR))
+    rows = materialize(tempered.withColumn("key", F.col("tempered") + gumbel(F.col("doc_id"), seed)))
+    least = rows.filter("label = 1").agg(F.percentile("tempered", F.lit(1 - keep))).first()[0]  # of `sample` rows at most
+    k = rows.filter(F.col("tempered") >= F.lit(least)).count() if least is not None else rows.count()
     bound = kth_largest(rows, k)
-    return rows.select("doc_id", "n_features", "weight", "key", (F.col("key") >= F.lit(bound) if bound is not None else F.lit(False)).alias("selected"))
+    return rows.select("doc_id", "n_features", "weight", "tempered", "key", (F.col("key") >= F.lit(bound) if bound is not None else F.lit(False)).alias("selected"))
 
 
 def selected(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
