@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import dropping_shuffles, hashed_words, materialize, mix64, text_buffer
-from .tally import bucketed, distinct, sent, tallied, totals_of
+from .tally import bucketed, distinct, sent, tallied, totals_of, unplanes
 
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Added to each count of the smoothed unigram score.
@@ -153,7 +153,7 @@ def scored(docs: DataFrame, held_out: str = "held_out", text: str = "text") -> D
     dealt = bucketed(docs.withColumnRenamed(held_out, "held_out"), text)
     totals = materialize(tallied(dealt.gather(_count), summary=True))
     tokens = totals.filter(f"b = -1 AND r < {dealt.ranges // 8}")  # those of single tokens
-    sums = np.array([np.frombuffer(r.totals, "<i8") for r in tokens.select("totals").collect()]).reshape(-1, 2).sum(axis=0)
+    sums = np.array([unplanes(r.totals, "<i8") for r in tokens.select("totals").collect()]).reshape(-1, 2).sum(axis=0)
     n_types, n = int(sums[0]), int(sums[1])
     totals = totals.filter("b >= 0")
     with dropping_shuffles(spark):

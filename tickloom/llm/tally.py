@@ -79,14 +79,25 @@ def sent(b: int, keys: np.ndarray, more: np.ndarray | None, counts: np.ndarray,
     edges = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
     rows = [(r, lo, hi) for r, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
-    blob = lambda a, kind: pa.array([a[lo:hi].astype(kind).tobytes() for _, lo, hi in rows] if a is not None else [None] * len(rows), pa.binary())
+    blob = lambda a, kind: pa.array([planes(a[lo:hi].astype(kind)) for _, lo, hi in rows] if a is not None else [None] * len(rows), pa.binary())
+    gaps = [planes(np.diff(keys[lo:hi].astype("<u8"), prepend=np.uint64(0))) for _, lo, hi in rows]
     number = lambda v: pa.array(v, pa.int64())
     columns = [number([r for r, _, _ in rows]), number([b] * len(rows)), number([hi - lo for _, lo, hi in rows])]
-    return pa.table([*columns, blob(keys, "<u8"), blob(more, "<u4"), blob(counts, "<u4")], ["r", "b", "n", "keys", "more", "counts"])
+    return pa.table([*columns, pa.array(gaps, pa.binary()), blob(more, "<u4"), blob(counts, "<u4")], ["r", "b", "n", "keys", "more", "counts"])
 
 
-def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() or b"" for x in column), kind)
+def planes(a: np.ndarray) -> bytes:
+    """Numbers byte by byte: all lowest bytes, then all second, ...; the high bytes of small numbers compress to nothing."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _joined(column: pa.ChunkedArray, kind: str, gaps: bool = False) -> np.ndarray:
+    parts = [unplanes(x, kind) for x in column.to_pylist() if x is not None]
+    return np.concatenate([np.cumsum(p, dtype=p.dtype) for p in parts] if gaps else parts) if parts else np.zeros(0, kind)
 
 
 def tallied(sent_rows: DataFrame, most: int | None = None, summary: bool = False) -> DataFrame:
@@ -97,16 +108,16 @@ def tallied(sent_rows: DataFrame, most: int | None = None, summary: bool = False
     kind = "<i8" if most is None else "u1"
 
     def run(table: pa.Table) -> pa.Table:
-        keys, counts = _joined(table["keys"], "<u8"), _joined(table["counts"], "<u4")
+        keys, counts = _joined(table["keys"], "<u8", gaps=True), _joined(table["counts"], "<u4")
         more = _joined(table["more"], "<u4") if table["more"].null_count < len(table) else None
         _, _, sums, place = distinct(keys, more, counts)
         totals = (sums if most is None else np.minimum(sums, most))[place].astype(kind)
         edges = np.cumsum([0, *table["n"].to_pylist()]).tolist()
-        blobs = [totals[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)]
+        blobs = [planes(totals[lo:hi]) for lo, hi in zip(edges, edges[1:], strict=False)]
         b, r = table["b"].to_pylist(), table["r"].to_pylist()
         if summary:
             b, r = [*b, -1], [*r, r[0]]
-            blobs.append(np.array([np.count_nonzero(sums), sums.sum()], "<i8").tobytes())
+            blobs.append(planes(np.array([np.count_nonzero(sums), sums.sum()], "<i8")))
         return pa.table([pa.array(b, pa.int64()), pa.array(r, pa.int64()), pa.array(blobs, pa.binary())], ["b", "r", "totals"])
 
     return sent_rows.groupBy("r").applyInArrow(run, TOTALS)
