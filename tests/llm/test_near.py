@@ -1,0 +1,73 @@
+import random
+
+import corpus_pipeline
+from tickloom.llm import near
+
+from .helpers import AWKWARD, documents
+
+
+def brute_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(texts):
+    """Component of each index, by comparing all pairs."""
+    sets = [brute_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return [find(i) for i in range(len(texts))]
+
+
+def copies(rnd, bases=25, each=8):
+    """Texts and edited copies of them, from almost equal to well under 0.8."""
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(bases):
+        words = [rnd.choice(vocab) for _ in range(rnd.randint(8, 300))]
+        texts.append(" ".join(words))
+        for _ in range(each):
+            edited = list(words)
+            for _ in range(rnd.randint(1, max(1, len(words) // 30))):
+                edited[rnd.randrange(len(edited))] = rnd.choice(vocab)
+            texts.append(" ".join(edited))
+    return texts
+
+
+def test_stage_keeps_one_of_near_copies(spark, tmp_path):
+    texts = copies(random.Random(1))
+    order = random.Random(2).sample(range(len(texts)), len(texts))
+    texts = [texts[i] for i in order]
+    sets = [brute_shingles(t) for t in texts]
+    alike = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.8 <= x <= 0.95 for x in alike) > 100 and sum(0.5 < x < 0.8 for x in alike) > 50
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, list(enumerate(texts))), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_groups(texts)))
+
+
+def test_leaders_lose_no_link(spark, monkeypatch):
+    """Whether pairs are listed at once or leaders are compared first, components are the same."""
+    texts = copies(random.Random(3), bases=4, each=40)
+    docs = documents(spark, list(enumerate(texts)))
+    want = sorted(set(brute_groups(texts)))
+    for dense, rounds in ((0, 3), (1e9, 3), (0, 1)):
+        monkeypatch.setattr(near, "DENSE", dense)
+        monkeypatch.setattr(near, "ROUNDS", rounds)
+        assert sorted(r.doc_id for r in near.representatives(docs).collect()) == want
+
+
+def test_awkward_rows(spark):
+    rows = near.representatives(documents(spark, AWKWARD)).collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 6, 7, 8, 9, 10, 11]
+    assert [r.text for r in rows if r.doc_id is None] == ["a null id"]
+    assert near.representatives(documents(spark, [])).collect() == []

@@ -1,0 +1,140 @@
+"""Near-duplicates by shingles of five words: MinHash bands find candidates, exact Jaccard similarity decides.
+
+Equal texts are one node from the start. Each of BANDS keys of a text is made of
+ROWS minima; two texts with similarity 0.8 share none of them with a probability
+of (1 - 0.8**ROWS)**BANDS = 1.3e-7, more alike ones more rarely. Texts that share a
+key are compared by their shingles themselves (not hashes), and those with LIKE or
+more in common are linked. Where buckets are large, all members are compared with
+the bucket's leader first, and only pairs that no component holds yet remain; then
+every remaining pair is compared: nothing is capped.
+
+Defined cases: null, empty and blank texts are equal; a text of fewer than five
+words is one shingle. One row of each component stays: that of the smallest
+doc_id (nulls last), then the smallest text, whatever doc_ids are repeated or null.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_digest
+
+from .common import materialize, mix64
+from .components import components
+
+SHINGLE, ROWS, BANDS, SEED = 5, 5, 40, 42
+#: Similarity that links, as a fraction of integers.
+LIKE = (4, 5)
+#: Pairs are listed where they are at most so many a bucket row; before that leaders are compared, in ROUNDS at most.
+DENSE, ROUNDS = 4, 4
+
+_RND = np.random.default_rng(SEED)
+_XOR = _RND.integers(0, 1 << 64, ROWS * BANDS, np.uint64, endpoint=False)[:, None]
+_TIMES = _RND.integers(0, 1 << 64, ROWS * BANDS, np.uint64, endpoint=False)[:, None] | np.uint64(1)
+
+
+def shingles(text: str | None) -> set[bytes]:
+    words = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII spaces only
+    if len(words) < SHINGLE:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)], strict=False)))
+
+
+def alike(a: set[bytes], b: set[bytes]) -> bool:
+    """Whether the Jaccard similarity is at least LIKE; two empty sets are equal."""
+    shared = len(a & b)
+    return shared * LIKE[1] >= (len(a) + len(b) - shared) * LIKE[0]
+
+
+def band_keys(found: set[bytes]) -> np.ndarray:
+    """BANDS keys as signed longs, equal for sets whose minima are."""
+    hashes = np.frombuffer(b"".join(map(xxh64_digest, found or {b""}, repeat(SEED))), np.uint64)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, ((hashes[None, at : at + 512] ^ _XOR) * _TIMES).min(axis=1), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(ROWS, BANDS):
+        keys = mix64(keys ^ row)
+    return keys.view(np.int64)
+
+
+def _banded(texts: DataFrame) -> DataFrame:
+    """h, n (shingles) and keys of each row of (h, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, keys = [], []
+            for text in batch.column(1):
+                found = shingles(text.as_py())
+                counts.append(len(found))
+                keys.append(band_keys(found))
+            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
+            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["h", "n", "keys"])
+
+    return texts.mapInArrow(run, "h long, n long, keys array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine = None, set()  # rows of one u mostly follow each other
+        for batch in batches:
+            good = []
+            for u, v, a, b in zip(*[batch.column(i) for i in range(4)], strict=True):
+                if u.as_py() != at:
+                    at, mine = u.as_py(), shingles(a.as_py())
+                if alike(mine, shingles(b.as_py())):
+                    good.append((at, v.as_py()))
+            u, v = zip(*good, strict=True) if good else ((), ())
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    side = lambda h, text: texts.select(F.col("h").alias(h), F.col("text").alias(text))
+    return pairs.join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """(u, v): links among the distinct texts (columns h and text; rows may repeat) that span all components."""
+    banded = materialize(_banded(texts))
+    keyed = banded.select("h", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("last")).filter("lead <> last").drop("last")
+    left = materialize(keyed.join(shared, "key").distinct())
+    ids = left.select("h").distinct()
+    wanted = materialize(texts.groupBy("h").agg(F.first("text").alias("text")).join(ids, "h", "left_semi"))
+    edges, left = None, left.withColumn("root", F.col("h"))
+    for _ in range(ROUNDS):
+        sizes = left.groupBy("key").agg(F.count("*").alias("size"))
+        rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
+        if not rows or pairs <= DENSE * rows:
+            break
+        found = materialize(_verified(left.filter("h <> lead").select(F.col("lead").alias("u"), F.col("h").alias("v")).distinct(), wanted))
+        edges = found if edges is None else edges.union(found)
+        roots = components(edges).withColumnRenamed("node", "h")
+        # the leader has met all of its bucket; a bucket whose others are in one component is done
+        rest = left.filter("h <> lead").select("key", "h", "n").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+        open_ = rest.groupBy("key").agg(F.min("h").alias("lead"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
+        left = materialize(rest.join(open_.select("key", "lead"), "key").select("key", "h", "n", "lead", "root"))
+    side = lambda x: left.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "n", "root")])
+    near = (F.col("n1") * LIKE[1] >= F.col("n2") * LIKE[0]) & (F.col("n2") * LIKE[1] >= F.col("n1") * LIKE[0])
+    pairs = side(1).join(side(2), "key").filter((F.col("h1") < F.col("h2")) & (F.col("root1") != F.col("root2")) & near)
+    found = materialize(_verified(pairs.select(F.col("h1").alias("u"), F.col("h2").alias("v")).distinct(), wanted))
+    return found if edges is None else edges.union(found)
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when one row of each component does."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    roots = components(links(docs.select(h.alias("h"), "text")))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.col("doc_id").isNull().alias("__null"), "doc_id", "text", *rest)
+    # copies of a text first, so that a large component's rows are summed up where they lie
+    first = docs.select(h.alias("__h"), row.alias("__row")).groupBy("__h").agg(F.min("__row").alias("__row"))
+    joined = first.join(roots.select(F.col("node").alias("__h"), "root"), "__h", "left").withColumn("__root", F.coalesce("root", "__h"))
+    kept = joined.groupBy("__root").agg(F.min("__row").alias("__row"))
+    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
