@@ -20,6 +20,15 @@ def test_no_semantic_tags():
     assert html_text.main_text(page) == "\n".join([text.strip(), "Short.", text.strip()])
 
 
+def test_sections_of_unequal_length():
+    text = "This is a sentence of the story that is long enough to count as content. " * 3
+    want = [f"{i} {text.strip()}" for i in range(16)]
+    first, second = (want[:12], want[12:])
+    section = lambda ps: f"<div class=section><h2>Part</h2>{''.join(f'<p>{p}</p>' for p in ps)}<p>Short.</p></div>"
+    page = f"<body><div class=menu><a>a</a><a>b</a></div><div id=content>{section(first)}{section(second)}</div><div class=footer>foot</div></body>"
+    assert html_text.main_text(page) == "\n".join(["Part", *first, "Short.", "Part", *second, "Short."])
+
+
 def test_class_marks_alone_do_not_empty_a_page():
     text = "All of the text lies in an element with an unlucky class. " * 5
     assert html_text.main_text(f"<div class='widget'><p>{text}</p></div>") == text.strip()

@@ -4,8 +4,9 @@ The standard library's parser is fed the page in slices. Its events build blocks
 runs of text between tags that break a line. Each block has its ratio of
 characters to tags; the ratios are smoothed with a Gaussian and split into two
 clusters (Weninger, Hsu and Han, "CETR: content extraction via tag ratios", 2010).
-Blocks of the upper cluster point out the content region: the deepest element
-that holds most of their text. All blocks in that region are kept but for those in
+Blocks of the upper cluster point out the content region: the article or main
+element around most of their text, or else the deepest element that holds all of
+them. All blocks in that region are kept but for those in
 elements that are no content by their tag, role or class (menus, forms, adverts,
 comments, ...), so short paragraphs of an article stay.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE = 1 << 16
-#: Blocks over which ratios are smoothed, and the share of content characters a region must hold.
+#: Blocks over which ratios are smoothed, and the share of content characters that decides which article or main element counts.
 SIGMA, SHARE = 1.0, 0.6
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -191,7 +192,11 @@ def main_text(html: str | None) -> str:
     while region.parent and region.chars < SHARE * total:
         region = region.parent
     up = _holder(region)  # an article or main element around the region is the better border
-    region = up if up.tag in CONTENT else _container(region)
+    if up.tag not in CONTENT:  # without one, no block of the upper cluster may lie outside
+        while region.parent and region.chars < total:
+            region = region.parent
+        up = _container(region)
+    region = up
     return "\n".join(b[0] for b in shown if _within(b[2], region))
 
 
