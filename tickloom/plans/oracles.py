@@ -97,6 +97,8 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 HOURLY = returns(EVENTS, HOUR, TYPES)
 MIXED = returns(ticks(ask="CASE WHEN event_type = 'error' THEN 5.0 ELSE value END"), HOUR, TYPES)
 ALL_PAIRS = correlated(HOURLY, DAY, DAY // 4, "TRUE")
+#: Gaps are filled for the keys of the table in place of a list of keys.
+EVERY_USER = returns(ticks(key="user_id"), 6 * HOUR, ("*",)).replace("(SELECT unnest(['*']) AS key) k", "(SELECT DISTINCT key FROM t WHERE key IS NOT NULL) k")
 USER_PAIRS = " AND ".join(f"{side}.key IN ({', '.join(repr(u) for u in USERS)})" for side in ("a", "b"))
 
 DEMO = """SELECT 'TS-' || s AS key, 1451577600000 + m * 60000 AS time, CAST(CASE WHEN s <= 2 THEN 1 + o ELSE 10 - o END AS DOUBLE) AS ask,
@@ -139,5 +141,6 @@ ORACLES: dict[str, str] = {
     "candles_by_key_sorted": candles(EVENTS, HOUR, TYPES) + " SELECT key, row_number() OVER (PARTITION BY key ORDER BY close_time) - 1 AS position, close_time, open_ask AS open, close_ask AS close FROM c",
     "corr_by_time": f"SELECT time, count(*) AS n, min(key) AS first_key FROM ({ALL_PAIRS}) GROUP BY time",
     "sparse_user_correlations": correlated(returns(ticks(key="user_id"), 6 * HOUR, USERS), 4 * DAY, 2 * DAY, "TRUE", USER_PAIRS),
+    "all_user_correlations": correlated(EVERY_USER, 4 * DAY, 2 * DAY, "TRUE"),
     "demo_correlations": correlated(returns(DEMO, 120_000, ("TS-1", "TS-2", "TS-3", "TS-4")), 600_000, 300_000, "TRUE"),
 }

@@ -215,6 +215,15 @@ def sparse_user_correlations(spark, sf):
     return _rounded(R.correlations(points, replace(cfg, pairs="configured", keys=users)))
 
 
+def all_user_correlations(spark, sf):
+    """Every pair of all users in the table; sparse_user_correlations has 20 configured ones."""
+    ticks = sources.event_ticks(spark, sf, "user_id")
+    users = tuple(r.key for r in ticks.filter("key IS NOT NULL").select("key").distinct().orderBy("key").collect())
+    points = R.log_returns(C.build_candles(ticks, CandleConfig(candle_ms=6 * HOUR, keys=users)))
+    cfg = CorrelationConfig(window_ms=4 * DAY, slide_ms=2 * DAY, min_corr=0.0, propagate_nan=True)
+    return _rounded(R.correlation_matrix(points, cfg))
+
+
 def stream_candles(spark, sf):
     """Events replayed as a stream to the end; the same candles as in batch."""
     return streaming.replay(sources.event_ticks(spark, sf), HOURLY)
@@ -234,6 +243,6 @@ QUERIES: dict[str, Query] = {
         pearson_all_pairs, ticks_assign_time, ticks_printed, ticks_total, tumbling_count, distinct_keys_per_window, missing_keys_per_window, generated_ticks, complete_ticks_union,
         partial_candles, partial_candles_bid_ask, partial_candles_bid_by_ask, window_end_stamp, complete_candles, sparse_candles, candles_without_leading_gaps, lineitem_candles,
         orders_priority_candles, end_of_time_filter, log_returns, sliding_points, work_packets, pair_keys_configured, pair_points_observed, pearson_thresholded, pearson_nan_policy,
-        pearson_nan_dropped, pearson_partitioned, pearson_by_position, pearson_matrix, pearson_underlying, candles_by_key_sorted, corr_by_time, sparse_user_correlations, stream_candles, demo_correlations,
+        pearson_nan_dropped, pearson_partitioned, pearson_by_position, pearson_matrix, pearson_underlying, candles_by_key_sorted, corr_by_time, sparse_user_correlations, all_user_correlations, stream_candles, demo_correlations,
     )
 }
