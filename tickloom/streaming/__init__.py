@@ -1,9 +1,8 @@
-"""The candle and correlation chain over unbounded ticks, with the same definitions as in batch.
+"""The candle chain over unbounded ticks, with the same definitions as in batch.
 
 Watermarked ticks are summed up by window, windows are completed with the silent
-keys, and a keyed state carries each close on. Sliding windows of returns are
-gathered in a further stateful step; pairs are then correlated with the batch
-operators, one micro-batch at a time. Late ticks (behind the watermark) are
+keys, and a keyed state carries each close on. The stream ends at candles: sliding
+windows of returns and correlations of pairs are not built. Late ticks (behind the watermark) are
 dropped. Spark closes a window when the watermark passes its end: `replay` appends
 a far-future sentinel tick so that the last windows close too, and filters it out.
 """
