@@ -71,3 +71,10 @@ def test_awkward_rows(spark):
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 6, 7, 8, 9, 10, 11]
     assert [r.text for r in rows if r.doc_id is None] == ["a null id"]
     assert near.representatives(documents(spark, [])).collect() == []
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    """A unique text stays though its doc_id is another row's, and copies without id are one."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(9)) for x in "abc")
+    rows = near.representatives(documents(spark, [(1, two), (1, one), (0, one), (None, three), (None, three)])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows) == sorted([("0", one), ("1", two), ("None", three)])
