@@ -30,5 +30,6 @@ def clashing(df):
     """The same rows with further columns named as operators may name theirs."""
     from pyspark.sql import functions as F
 
-    extra = ["fp", "key", "u", "v", "n", "b", "size", "target", "copies", "rank", "score", "h"]
+    extra = ["fp", "key", "u", "v", "n", "b", "size", "target", "copies", "rank", "score", "h", "_", "row", "kept", "label", "weight", "chosen", "lot", "k"]
+    extra += ["__size", "__source", "__t", "__source_size", "__target", "__copies", "__copy", "__k", "__h", "__row", "__root", "__null", "__chosen", "__first"]
     return df.withColumns({c: F.lit("clash") for c in extra})
