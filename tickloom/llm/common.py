@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -196,9 +196,9 @@ def window_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     return mix64(acc)
 
 
-def sized_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sized_batches(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text at most (one longer text is a batch of its own)."""
     for batch in batches:
-        _, offsets = text_buffer(batch.column(column))
+        _, offsets = text_buffer(column(batch) if callable(column) else batch.column(column))
         for lo, hi in text_slices(offsets, limit):
             yield batch.slice(lo, hi - lo)

@@ -1,33 +1,28 @@
 """Importance resampling with hashed n-gram models, by Gumbel top-k.
 
-Words (ASCII lower case) and word pairs are hashed into SLOTS counters, each
-once per document: repeats within a document are no independent evidence. How
-often pairs repeat is a feature of its own, in powers of two. A model of the
-target text is counted on labelled documents (a bounded sample, at most `sample`
-of them, taken by hash) and a model of the raw text on all documents. A document's
-weight is the log ratio of its probability under the two (Xie et al., "Data
-Selection for Language Models via Importance Resampling", 2023); the models count
-as equal where the labelled documents, target and others, give no evidence: words
-of a group of copies that has no labels are no sign of bad text. Each
-weight is tempered to TEMPER features, so that long documents are judged by what
-they hold and not by how much, and gets Gumbel noise seeded by the document's id;
-the k largest sums are a sample without replacement in proportion to the tempered
-ratios. k is the number of documents whose tempered weight is at least the
-(1 - KEEP) quantile of the labelled target documents', so that about that share
-of target documents stays.
-A document's own features are left out of both models when it is weighed, so
-that a feature of this document alone says nothing and labelled documents gain
-no advantage.
-
-The k-th largest sum is found by narrowing a histogram, so nothing but counters
-reaches the driver and no sort of all documents is needed.
-
-Defined cases: null, empty and blank texts have no features and weight 0; ties
-at the k-th place are all selected; rows with the same doc_id get the same
-noise; a null doc_id too; without labels, or without any that name the target,
-the models are equal and every document is selected; a document labelled twice
-has its lowest quality; an empty table gives an
-empty one.
+Words (ASCII lower case) and word pairs are hashed into SLOTS counters. A model of the target text is counted on
+labelled documents (a bounded sample, at most `sample` of them, taken by hash) and a model of the raw text on all
+documents, every occurrence counted. A document's weight is the log ratio of its probability under the two (Xie et al.,
+"Data Selection for Language Models via Importance Resampling", 2023); the target model's counts are smoothed by
+PRIOR occurrences spread as the raw model has them, so that what the sample says nothing of weighs nothing.
+
+n-grams of one text depend on each other, and the sum over a long text would outweigh any noise: the ratio is tempered
+to TEMPER n-grams, as if each document held that many independent ones. Gumbel noise of scale 1, seeded by the
+document's id, is added, and the k largest sums are a sample without replacement in proportion to the tempered ratios.
+k is given, or is the number of documents whose tempered weight is no less than what a share `keep` of the labelled
+target documents reaches. A document's own n-grams are left out of both models when it is weighed, so that labelled
+documents gain no advantage.
+
+The k-th largest sum is found by narrowing a histogram, so nothing but counters reaches the driver and no sort of all
+documents is needed. Each task counts into a dense array and sends it in ranges of slots, which are added up in two
+steps.
+
+Defined cases: null, empty and blank texts have no n-grams and weight 0; a very long text is a batch of its own; ties at
+the k-th place are all selected; equal rows fare alike; rows with the same doc_id get the same noise, but each is
+weighed and selected by itself; a row without doc_id draws by its text and is never labelled; without labels, or
+without any that name the target, all weights are 0 and every document is selected (unless k is given); a document
+labelled twice has its lowest quality; an empty table gives an empty one; `selected` keeps further columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -36,26 +31,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import hash_spans, materialize, mix64, sized_batches, text_buffer, word_spans
+from .tally import planes, unplanes
 
 BITS = 20
 SLOTS = 1 << BITS
 #: Labelled documents that are counted, at most.
 SAMPLE = 20_000
-#: Counts added to what the target model has and to what it would have if it were the raw model.
-SMOOTHING = 0.5
-#: Standard deviations from which a slot's counts tell target from raw.
-EVIDENCE = 3.0
+#: Occurrences of a slot in the raw model's proportions that the target model starts with, as many as that model would have of it.
+PRIOR = 8.0
 #: Share of the target documents that selection keeps, about.
 KEEP = 0.995
-#: Features that every document's ratio is tempered to, and features without evidence that each is given besides.
-TEMPER, PRIOR = 1000, 10
-#: A word pair that a document holds so often counts as repeated.
-REPEATED = 4
+#: n-grams that every document's ratio is tempered to, and neutral n-grams that each is given besides.
+TEMPER, NEUTRAL = 32.0, 10
+#: Ranges of slots, and groups of tasks that are added up first.
+RANGES, GROUPS = 256, 32
 SEED = 11
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,7 +59,7 @@ _LOWER[65:91] += 32
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, texts): each text's distinct features, ordered by text."""
+    """(slots, texts): one entry for each word and each pair of words of a text."""
     data, offsets = text_buffer(column)
     data = _LOWER[data]
     starts, ends = word_spans(data, offsets)
@@ -71,37 +67,12 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     text = np.searchsorted(offsets, starts, "right") - 1
     within = text[:-1] == text[1:]
     pairs = mix64(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])[within]
-    pairs, n = np.unique(_keys(pairs, text[:-1][within]), return_counts=True)
-    often = n >= REPEATED
-    repeats = pairs[often] >> BITS << BITS | mix64(np.log2(n[often]).astype(np.uint64)).astype(np.int64) & SLOTS - 1
-    return np.divmod(np.unique(np.concatenate([_keys(words, text), pairs, repeats])), SLOTS)[::-1]
+    slots = (np.concatenate([words, pairs]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return slots, np.concatenate([text, text[:-1][within]])
 
 
-def _keys(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
-    return text << BITS | (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _counts(flagged: DataFrame) -> np.ndarray:
-    """Counters of the target documents, of other labelled ones and of all, summed over the cluster; SLOTS rows reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, SLOTS), np.int64)
-        for batch in sized_batches(batches, "text"):
-            slots, text = features(batch.column("text"))
-            label = _labels(batch)[text]
-            for row, some in zip(total, (label == 1, label == 0, slice(None)), strict=True):
-                row += np.bincount(slots[some], minlength=SLOTS)
-        some = np.flatnonzero(total[2])
-        yield pa.record_batch([pa.array(x) for x in (some, *total[:, some])], ["slot", *NAMES])
-
-    sums = flagged.select("text", "label").mapInArrow(run, "slot long, target long, other long, raw long")
-    found = sums.groupBy("slot").agg(*[F.sum(c).alias(c) for c in NAMES]).toArrow()
-    out = np.zeros((3, SLOTS))
-    out[:, found["slot"].to_numpy()] = [found[c].to_numpy() for c in NAMES]
-    return out
-
-
-NAMES = ("target", "other", "raw")
+def _text(batch: pa.RecordBatch) -> pa.Array:
+    return pc.struct_field(batch.column("row"), "text")
 
 
 def _labels(batch: pa.RecordBatch) -> np.ndarray:
@@ -109,50 +80,86 @@ def _labels(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def log_weights(slots: np.ndarray, text: np.ndarray, label: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Log ratio of each text under the two models, without its own features.
-
-    A slot with raw count c has the ratio (t + a) / (f * c + a), where t is its
-    target count and f the target's share of all features: what the target model
-    saw against what it would have seen were it the raw model. Where target and
-    other labelled documents hold the slot as chance would have it (up to EVIDENCE
-    standard deviations) the ratio is 1: else the logarithms of many rare slots'
-    ratios, negative on average, would outweigh what is known.
+def _counts(flagged: DataFrame) -> np.ndarray:
+    """Counters of the target documents and of all, summed over the cluster; 2 * SLOTS numbers reach the driver."""
+    width = SLOTS // RANGES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, SLOTS), np.int64)
+        for batch in sized_batches(batches, _text):
+            slots, text = features(_text(batch))
+            target = _labels(batch) == 1
+            total[1] += np.bincount(slots, minlength=SLOTS)
+            if target.any():
+                total[0] += np.bincount(slots[target[text]], minlength=SLOTS)
+        parts = [planes(total[:, lo : lo + width].ravel()) for lo in range(0, SLOTS, width)]
+        yield pa.record_batch([pa.array(range(RANGES)), pa.array([TaskContext.get().partitionId() % GROUPS] * RANGES), pa.array(parts, pa.binary())], ["r", "g", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(2 * width, np.int64)
+        for part in table["sums"]:
+            total += unplanes(part.as_py(), "<i8")
+        return pa.table([table["r"].slice(0, 1), table["g"].slice(0, 1), pa.array([planes(total)], pa.binary())], ["r", "g", "sums"])
+
+    kind = "r long, g long, sums binary"
+    sums = flagged.mapInArrow(count, kind)
+    for by in (["r", "g"], ["r"]):
+        sums = sums.groupBy(*by).applyInArrow(add, kind)
+    out = np.zeros((2, RANGES, width), np.int64)
+    for r in sums.select("r", "sums").toArrow().to_pylist():
+        out[:, r["r"]] = unplanes(r["sums"], "<i8").reshape(2, width)
+    return out.reshape(2, SLOTS)
+
+
+def log_weights(slots: np.ndarray, text: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of n-grams, log ratio under the two models without its own n-grams) of each text.
+
+    A slot with target count t and raw count c has the ratio (t + PRIOR) / (f * c + PRIOR), where f is the target's
+    share of all occurrences: what the target model saw against what it would have seen were it the raw model.
     """
     n = len(label)
-    target, other, raw = counts.sum(axis=1)
+    target, raw = counts.sum(axis=1).tolist()
+    sizes = np.bincount(text, minlength=n)
     if not len(slots) or not target:
-        return np.zeros(n)
-    own = label[text]
-    t, u, c = counts[0, slots] - (own == 1), counts[1, slots] - (own == 0), counts[2, slots] - 1
-    ratio = np.log((t + SMOOTHING) / (c * (target / raw) + SMOOTHING))
-    share = target / (target + other)
-    ratio[np.abs(t - share * (t + u)) < EVIDENCE * np.sqrt(share * (1 - share) * (t + u) + 1)] = 0
-    return np.bincount(text, ratio, n)
-
-
-def gumbel(doc_id: Column, seed: int) -> Column:
-    """Gumbel noise from the document's id."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11)
+        return sizes, np.zeros(n)
+    key, own = np.unique(text << BITS | slots, return_counts=True)
+    text, slots = key >> BITS, key & SLOTS - 1
+    t, c = counts[0, slots] - own * (label[text] == 1), counts[1, slots] - own
+    ratio = np.log((t + PRIOR) / (c * (target / raw) + PRIOR))
+    return sizes, np.bincount(text, ratio * own, n)
+
+
+def gumbel(doc_id: Column, seed: int, text: Column | None = None) -> Column:
+    """Gumbel noise from the document's id, or from its text where the id is null."""
+    lot = F.xxhash64(F.lit(seed), doc_id) if text is None else F.xxhash64(F.lit(seed), doc_id, F.when(doc_id.isNull(), text))
+    bits = F.shiftrightunsigned(lot, 11)
     return -F.log(-F.log((bits + 0.5) / float(2**53)))
 
 
-def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, label (1: counted on for the target model, 0: as other, null), n_features, weight for every row of docs."""
+def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED, whole: bool = False) -> DataFrame:
+    """row, label (1: counted on for the target model, 0: labelled otherwise, null), noise, n_features, weight for every row of docs.
+
+    row is a struct of doc_id, or of all columns of docs if `whole`.
+    """
     judged = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 1).cast("int").alias("label"))
-    chosen = judged.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "chosen")
-    flagged = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen"], "left").select("doc_id", "text", "label")
-    counts = _counts(flagged)
+    chosen = judged.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else ("doc_id", "text"))]).alias("row"))
+    flagged = rows.join(F.broadcast(chosen), F.col("row.doc_id") == chosen["doc_id"], "left")  # `sample` rows at most
+    flagged = flagged.select("row", "label", gumbel(F.col("row.doc_id"), seed, F.col("row.text")).alias("noise"))
+    counts = _counts(flagged.select("row", "label"))
+    kept = rows.schema["row"].dataType if whole else T.StructType([docs.schema["doc_id"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "text"):
-            slots, text = features(batch.column("text"))
-            weight = log_weights(slots, text, _labels(batch), counts)
-            n_features = np.bincount(text, minlength=batch.num_rows)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(n_features), pa.array(weight)], ["doc_id", "label", "n_features", "weight"])
+        for batch in sized_batches(batches, _text):
+            slots, text = features(_text(batch))
+            sizes, weight = log_weights(slots, text, _labels(batch), counts)
+            row = batch.column("row")
+            if not whole:
+                row = pa.StructArray.from_arrays([pc.struct_field(row, "doc_id")], ["doc_id"])
+            yield pa.record_batch([row, batch.column("label"), batch.column("noise"), pa.array(sizes, pa.int64()), pa.array(weight)], ["row", "label", "noise", "n_features", "weight"])
 
-    kinds = [("label", T.IntegerType()), ("n_features", T.LongType()), ("weight", T.DoubleType())]
-    return flagged.mapInArrow(run, T.StructType([docs.schema["doc_id"], *[T.StructField(*k) for k in kinds]]))
+    kinds = [("label", T.IntegerType()), ("noise", T.DoubleType()), ("n_features", T.LongType()), ("weight", T.DoubleType())]
+    return flagged.mapInArrow(run, T.StructType([T.StructField("row", kept), *[T.StructField(*k) for k in kinds]]))
 
 
 def kth_largest(keys: DataFrame, k: int) -> float | None:
@@ -181,18 +188,23 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return lo
 
 
-def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """doc_id, n_features, weight, tempered, key, selected for every row of docs."""
-    weighed = weigh(docs.select("doc_id", "text"), labels, sample)
-    tempered = weighed.withColumn("tempered", F.lit(float(TEMPER)) * F.col("weight") / (F.col("n_features") + PRIOR))
-    rows = materialize(tempered.withColumn("key", F.col("tempered") + gumbel(F.col("doc_id"), seed)))
-    least = rows.filter("label = 1").agg(F.percentile("tempered", F.lit(1 - keep))).first()[0]  # of `sample` rows at most
-    k = rows.filter(F.col("tempered") >= F.lit(least)).count() if least is not None else rows.count()
+def _drawn(docs: DataFrame, labels: DataFrame, whole: bool, sample: int, keep: float, k: int | None, seed: int) -> DataFrame:
+    """row, n_features, weight, tempered, key, selected for every row of docs, by one pass over the texts after the models'."""
+    weighed = weigh(docs, labels, sample, seed, whole)
+    tempered = weighed.withColumn("tempered", F.lit(TEMPER) * F.col("weight") / (F.col("n_features") + NEUTRAL))
+    rows = materialize(tempered.withColumn("key", F.col("tempered") + F.col("noise")))
+    if k is None:
+        least = rows.filter("label = 1").agg(F.percentile("tempered", F.lit(1 - keep))).first()[0]  # of `sample` rows at most
+        k = rows.filter(F.col("tempered") >= F.lit(least)).count() if least is not None else rows.count()
     bound = kth_largest(rows, k)
-    return rows.select("doc_id", "n_features", "weight", "tempered", "key", (F.col("key") >= F.lit(bound) if bound is not None else F.lit(False)).alias("selected"))
+    return rows.withColumn("selected", F.col("key") >= F.lit(bound) if bound is not None else F.lit(False))
+
+
+def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """doc_id, n_features, weight, tempered, key, selected for every row of docs."""
+    return _drawn(docs, labels, False, sample, keep, k, seed).select("row.doc_id", "n_features", "weight", "tempered", "key", "selected")
 
 
-def selected(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are selected, with all their columns."""
-    chosen = select(docs, labels, **how).filter("selected").select(F.col("doc_id").alias("__chosen")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__chosen")), "left_semi")
+def selected(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of docs that are selected, with all their columns; each row stands or falls by itself, without a join."""
+    return _drawn(docs, labels, True, sample, keep, k, seed).filter("selected").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
