@@ -11,15 +11,24 @@ again over the positions its mask left out, and again until the free positions
 alone bound its size; nothing is capped. Within a bucket the links found are
 reduced to a spanning forest, then components are contracted on the cluster.
 
-Defined cases: null, empty and blank texts have fingerprint 0 and link like any
-other; rows with equal doc_id count as they are; a null doc_id is never the
-smallest of a component unless all are null; an empty table gives an empty one.
+`representatives` keeps one row of each group of near-duplicates: texts with a share LIKE or more of their distinct
+five-word shingles in common. A 64-bit SimHash of shingles puts such texts nine bits apart on average, which no small
+radius spans; of distinct words it puts them three bits apart. So each text gets PARTS SimHashes of its distinct words,
+each covered to WORD_RADIUS bits: two texts meet if any of them is so near, and their shingles then decide. Where buckets
+are large, members are compared with the bucket's leader first, and only pairs that no component holds yet remain; then
+every remaining pair is compared: nothing is capped.
+
+Defined cases: null, empty and blank texts have fingerprint 0 and link like any other (`representatives` has them as
+equal); a very long text is hashed piece by piece; a text of fewer words than a shingle is one shingle; rows with equal
+doc_id count as they are; a null doc_id is never the smallest of a component unless all are null; of tied rows the one
+that stays has the smallest doc_id (nulls last), then text hash, then other columns, and of equal rows one stays; an
+empty table gives an empty one; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +37,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
-from .common import materialize
+from .common import hashed_words, materialize, mix64, sized_batches, text_buffer, text_slices, window_hashes
 from .components import components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: A bucket of more fingerprints is covered again; the last level leaves so few free positions that it needs no bound.
 SPLIT, LEVELS = 64, 3
+#: Words hashed at a time.
+PIECE = 1 << 16
+#: Near-duplicates: words of a shingle and the similarity that links, as a fraction of integers; SimHashes of words and the radius of each.
+WORDS, LIKE, PARTS, WORD_RADIUS = 5, (4, 5), 4, 4
+#: Pairs are listed where they are at most so many a bucket row; before that leaders are compared, in ROUNDS at most.
+DENSE, ROUNDS = 4, 4
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -47,12 +65,9 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         joined = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
         n = len(words) - shingle + 1
-    counts, at = np.zeros(64, np.int64), 0
-    digests = b"".join(map(xxh64_digest, joined, repeat(SEED)))
-    while at < n:  # a long text's bits are unpacked piece by piece
-        part = np.frombuffer(digests, np.uint8, 8 * min(n - at, 1 << 16), 8 * at).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
-        at += len(part)
+    counts = np.zeros(64, np.int64)
+    while digests := b"".join(map(xxh64_digest, islice(joined, PIECE), repeat(SEED))):  # a long text's hashes are never held together
+        counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
@@ -60,7 +75,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     """(doc_id, fp) for every row; fp is the 64-bit fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sized_batches(batches, "text"):
             fps = [simhash(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
@@ -145,6 +160,134 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: str | None, size: int = WORDS) -> set[bytes]:
+    words = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII spaces only
+    if len(words) < size:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*[words[i:] for i in range(size)], strict=False)))
+
+
+def alike(a: set[bytes], b: set[bytes]) -> bool:
+    """Whether the Jaccard similarity is at least LIKE; two empty sets are equal."""
+    shared = len(a & b)
+    return shared * LIKE[1] >= (len(a) + len(b) - shared) * LIKE[0]
+
+
+def _firsts(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places of the first of equal hashes of a text, ordered by text."""
+    _, at = np.unique(mix64(hashes + text.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True)
+    return at[np.argsort(text[at], kind="stable")]
+
+
+def word_prints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of distinct shingles, PARTS SimHashes of the distinct words) of each text; nothing is longer in memory than a piece of about a megabyte, or one text."""
+    data, offsets = text_buffer(column)
+    n = len(offsets) - 1
+    sizes, prints = np.zeros(n, np.int64), np.zeros((n, PARTS), np.uint64)
+    for lo, hi in text_slices(offsets):
+        words, firsts = hashed_words(_LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo])
+        text = np.repeat(np.arange(hi - lo), np.diff(firsts))
+        runs, inside = window_hashes(words, WORDS), text[: max(0, len(words) - WORDS + 1)] == text[WORDS - 1 :]
+        owner = text[: len(inside)][inside]
+        sizes[lo:hi] = np.maximum(np.bincount(owner[_firsts(runs[inside], owner)], minlength=hi - lo), np.diff(firsts) > 0)
+        some = _firsts(words, text)
+        words, text = words[some], text[some]
+        counts = np.zeros((hi - lo, 64 * PARTS), np.int64)
+        for at in range(0, len(words), PIECE):
+            piece, owner = words[at : at + PIECE], text[at : at + PIECE]
+            bits = np.column_stack([mix64(piece + np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(PARTS)])
+            bits = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            counts[owner[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        prints[lo:hi] = np.packbits(2 * counts > np.bincount(text, minlength=hi - lo)[:, None], axis=1, bitorder="little").view(np.uint64)
+    return sizes, prints
+
+
+def _printed(texts: DataFrame) -> DataFrame:
+    """h, n (distinct shingles) and prints of each row of (h, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized_batches(batches, "text"):
+            sizes, prints = word_prints(batch.column("text"))
+            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARTS)
+            yield pa.record_batch([batch.column("h"), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(prints.view(np.int64).ravel()))], ["h", "n", "prints"])
+
+    return texts.select("h", "text").mapInArrow(run, "h long, n long, prints array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine = None, set()  # rows of one u mostly follow each other
+        for batch in batches:
+            good = []
+            for u, v, a, b in zip(*[batch.column(i) for i in range(4)], strict=True):
+                if u.as_py() != at:
+                    at, mine = u.as_py(), shingles(a.as_py())
+                if alike(mine, shingles(b.as_py())):
+                    good.append((at, v.as_py()))
+            u, v = zip(*good, strict=True) if good else ((), ())
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    side = lambda h, text: texts.select(F.col("h").alias(h), F.col("text").alias(text))
+    return pairs.join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _near(one: Column, two: Column) -> Column:
+    return F.bit_count(one.bitwiseXOR(two)) <= WORD_RADIUS
+
+
+def alike_links(texts: DataFrame) -> DataFrame:
+    """(u, v): links among the distinct texts (columns h and text; rows may repeat) that span the components of the pairs that meet and are alike."""
+    masks = covering_masks(list(range(64)), WORD_RADIUS)
+    printed = materialize(_printed(texts).dropDuplicates(["h"]))
+    table, n = F.array(*[F.lit(signed(m)) for m in masks]), len(masks)
+    keyed = printed.select("h", "prints", F.explode(F.sequence(F.lit(0), F.lit(PARTS * n - 1))).alias("t"))
+    keyed = keyed.select("h", "t", F.element_at("prints", F.floor(F.col("t") / n).cast("int") + 1).alias("fp"))
+    keyed = keyed.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.element_at(table, F.col("t") % n + 1))).alias("key"), "h", "fp")
+    shared = materialize(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key"))
+    met = materialize(keyed.join(shared, "key"))
+    leads = met.groupBy("key").agg(F.min(F.struct("h", "fp")).alias("lead"))
+    left = materialize(met.join(leads, "key").join(printed.select("h", "n"), "h"))
+    ids = left.select("h").distinct()
+    wanted = materialize(texts.groupBy("h").agg(F.first("text").alias("text")).join(ids, "h", "left_semi"))
+    edges, left = None, left.withColumn("root", F.col("h"))
+    for _ in range(ROUNDS):
+        sizes = left.groupBy("key").agg(F.count("*").alias("size"))
+        rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
+        if not rows or pairs <= DENSE * rows:
+            break
+        close = left.filter((F.col("h") != F.col("lead.h")) & _near(F.col("fp"), F.col("lead.fp")))
+        found = materialize(_verified(close.select(F.col("lead.h").alias("u"), F.col("h").alias("v")).distinct(), wanted))
+        edges = found if edges is None else edges.union(found)
+        roots = components(edges).withColumnRenamed("node", "h")
+        # the leader has met all of its bucket; a bucket whose others are in one component is done
+        rest = left.filter("h <> lead.h").select("key", "h", "n", "fp").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+        open_ = rest.groupBy("key").agg(F.min(F.struct("h", "fp")).alias("lead"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
+        left = materialize(rest.join(open_.select("key", "lead"), "key").select("key", "h", "n", "fp", "lead", "root"))
+    side = lambda x: left.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "n", "fp", "root")])
+    sizes = (F.col("n1") * LIKE[1] >= F.col("n2") * LIKE[0]) & (F.col("n2") * LIKE[1] >= F.col("n1") * LIKE[0])
+    pairs = side(1).join(side(2), "key").filter((F.col("h1") < F.col("h2")) & (F.col("root1") != F.col("root2")) & sizes & _near(F.col("fp1"), F.col("fp2")))
+    found = materialize(_verified(pairs.select(F.col("h1").alias("u"), F.col("h2").alias("v")).distinct(), wanted))
+    return found if edges is None else edges.union(found)
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay when one row of each group of near-duplicates does, with all their columns."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    field = lambda c: F.col(f"row.`{c}`")
+    whole = whole.select(F.xxhash64(F.coalesce(field(text), F.lit(""))).alias("h"), "row")
+    roots = materialize(components(alike_links(whole.select("h", field(text).alias("text")))).withColumnRenamed("node", "h"))
+    rest = [field(c) for c, kind in docs.dtypes if c not in (doc_id, text) and "map<" not in kind]
+    order = F.struct(field(doc_id).isNull(), field(doc_id), "h", *rest)
+    # copies of a text first, so that a large component's rows are summed up where they lie
+    first = whole.groupBy("h").agg(F.min_by("row", order).alias("row"))
+    alone = first.join(roots, "h", "left_anti").select("row")
+    joined = first.join(roots, "h").groupBy("root").agg(F.min_by("row", order).alias("row")).select("row")
+    return alone.union(joined).select(*[field(c).alias(c) for c in docs.columns])
+
+
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
