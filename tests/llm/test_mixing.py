@@ -51,12 +51,25 @@ def test_mix_emits_what_the_report_says(spark):
     assert all(abs(a - b) < 0.25 * b + 100 for a, b in sums.values())
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Rates are broadcast after their number is known: no exchange of documents. Beyond the bound the result is the same."""
+    rnd = random.Random(3)
+    docs = documents(spark, [(i if i % 9 else None, "w " * rnd.randint(0, 60), rnd.choice(["a", "a", "a", None, f"s{i}"])) for i in range(300)])
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "rangepartitioning" not in plan
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(mixing.mix(docs)), rows(mixing.mixture_report(docs))
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert (rows(mixing.mix(docs)), rows(mixing.mixture_report(docs))) == want
+
+
 def test_awkward_rows(spark):
     docs = clashing(documents(spark, [(*r, None if i % 3 else "z") for i, r in enumerate(AWKWARD)]))
     rows = mixing.mixture_report(docs).collect()
     assert len(rows) == len(AWKWARD)
     assert {r.size for r in rows if r.doc_id in (3, 4, 5)} == {0}
-    assert mixing.mix(docs).columns == docs.columns
+    mixed = mixing.mix(docs)
+    assert mixed.dtypes == docs.dtypes and {v for r in mixed.collect() for c, v in r.asDict().items() if c.startswith("__")} == {"clash"}
     empty = documents(spark, [])
     assert mixing.mixture_report(empty).collect() == [] and mixing.mix(empty).collect() == []
     blank = documents(spark, [(1, None), (2, "")])

@@ -8,8 +8,9 @@ hash-seeded draw lies below the fraction.
 Defined cases: a null text has size 0, and documents of size 0 take rate 0 or
 their source's rate alike (they add no words); a null source is a source, ranked
 last; a null doc_id draws like any other value; rows with the same doc_id draw
-alike; an empty table gives an empty result; a source whose sizes are all 0 has
-rate 0. Columns of the input other than the named ones pass through `mix`.
+alike; a very long text is counted whole; an empty table gives an empty result; a
+source whose sizes are all 0 has rate 0. Columns of the input other than the named
+ones pass through `mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Weights by rank of the source, repeating; and the most repeats of a source.
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+#: Sources whose rates are broadcast, at most, and keys that a source's rows are spread over beyond that.
+BROADCAST, SALTS = 100_000, 64
 
 
 def n_words(text: Column) -> Column:
@@ -34,7 +39,7 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, share: float = 1.0) -> DataFrame:
-    """source, source_size, target for a table with source and size.
+    """source, source_size, target for a table with source and size; windows run over the sources' sums.
 
     Targets share `share` of all sizes by weight; one above `most` times its
     source's size stops there and the excess is shared again by weight. That
@@ -63,33 +68,40 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS,
     )
 
 
-def rated(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
-    """_doc_id, _source, _size, source_size, target, copies, beside all columns of docs, one row per row of docs."""
-    names = {"__size": n_words(F.col(text)), "__source": F.col(source)}
-    sized = docs.withColumns(names)
-    targets = source_targets(sized.select(F.col("__source").alias("source"), F.col("__size").alias("size")), **how)
-    targets = targets.select(F.col("source").alias("__t"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")
-    return sized.join(targets, F.col("__source").eqNullSafe(F.col("__t"))).withColumn("__copies", copies).drop("__t")
-
-
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixture itself: rows of docs, each as often as its rate and draw say."""
-    copies = F.expr("IF(__copies > 0, sequence(1L, __copies), array())")
-    return rated(docs, **how).withColumn("__copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def mixture_report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs."""
-    out = rated(docs.select("doc_id", "text", "source"), **how)
-    return out.select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__copies")).alias("taken"),
-    )
+def _matched(rows: DataFrame, source: Column, doc_id: Column, targets: DataFrame, seed: int) -> DataFrame:
+    """rows with source_size, target and copies; targets is a written table of one row for each source.
+
+    It is broadcast if it has BROADCAST rows at most. Beyond that rows of a source are spread over SALTS keys, so that a
+    source may hold any share of them.
+    """
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    if targets.count() <= BROADCAST:
+        joined = rows.join(F.broadcast(targets), source.eqNullSafe(targets["source"]))
+    else:
+        salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, source.eqNullSafe(salted["source"]) & (F.pmod(F.xxhash64(doc_id), F.lit(SALTS)) == salted["salt"]))
+    return joined.withColumn("copies", F.floor(rate) + (draw(doc_id, seed) < rate - F.floor(rate)).cast("long"))
+
+
+def mix(docs: DataFrame, seed: int = 7, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The mixture itself: rows of docs, each as often as its rate and draw say, with all their columns.
+
+    Texts are counted in a first pass, of which only the sums by source are kept; the second passes them on where they lie.
+    """
+    sized = docs.select(F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size"))
+    targets = materialize(source_targets(sized, **how))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    matched = _matched(rows, F.col(f"row.`{source}`"), F.col(f"row.`{doc_id}`"), targets, seed)
+    taken = matched.select("row", F.explode(F.expr("IF(copies > 0, sequence(1L, copies), array())")))
+    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def mixture_report(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of docs; texts are counted once."""
+    sized = materialize(docs.select("doc_id", F.col("source").alias("own"), n_words(F.col("text")).alias("size")))
+    targets = materialize(source_targets(sized.select(F.col("own").alias("source"), "size"), **how))
+    out = _matched(sized, F.col("own"), F.col("doc_id"), targets, seed)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 REPORT_SQL = r"""
