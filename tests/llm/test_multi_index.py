@@ -41,6 +41,32 @@ def test_recall_and_scores(spark):
     assert got.keys() == want.keys() and hits / (10 * len(want)) >= 0.9
 
 
+def test_matrix_product_loses_nothing():
+    """Far from the origin, where squared distances round most, and with ties: the same rows as by plain distances."""
+    rng = np.random.default_rng(3)
+    x = np.float32(rng.normal(size=(700, 12)) + 1000).astype(np.float64)
+    x[500:520] = x[7]
+    at, queries = rng.integers(0, 40, 700), x[::9]
+    visited = [rng.choice(45, rng.integers(1, 30), replace=False) for _ in queries]
+    for (some, d), q, cells in zip(multi_index.near_sets(x, at, queries, visited, 5), queries, visited, strict=True):
+        inside = np.flatnonzero(np.isin(at, cells))
+        exact = multi_index.distances(x[inside], q)
+        order = np.lexsort((inside, exact))[:5]
+        best = np.lexsort((some, d))[:5]
+        assert some[best].tolist() == inside[order].tolist() and d[best].tolist() == exact[order].tolist()
+
+
+def test_recall_holds_at_two_sizes(spark):
+    """Hard, nearly isotropic vectors: recall at two sizes, and candidates counted by what the index visits."""
+    rng = np.random.default_rng(4)
+    for n in (1500, 6000):
+        rows = [(i, rng.normal(size=16).tolist()) for i in range(n)]
+        want, got = brute(rows), {}
+        for r in multi_index.search_report(table(spark, rows)).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert sum(len(got[q] & {i for _, i in near}) for q, near in want.items()) >= 0.95 * 10 * len(want)
+
+
 def test_visits_follow_the_sums():
     rng = np.random.default_rng(2)
     a, b = rng.random(9), rng.random(7)

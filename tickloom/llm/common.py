@@ -7,6 +7,7 @@ byte, so words of bytes are words of characters.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text hashed at a time; a single longer word is hashed in one go.
 SLICE = 1 << 18
@@ -81,6 +83,26 @@ def discard(spark: SparkSession) -> int:
     return n
 
 
+#: Bytes of an Arrow batch that Python workers are sent, at most (a longer row is a batch of its own).
+BATCH = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df; from now on the session's Arrow batches are bounded by BATCH, or less if it is set so, however long texts are."""
+    spark = df.sparkSession
+    number, unit = re.fullmatch(r"(\d+)\s*([kmg]?)b?", spark.conf.get(_BATCH).lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH:
+        spark.conf.set(_BATCH, str(BATCH))
+    return df
+
+
+def carried(df: DataFrame, but: str) -> Column:
+    """One struct of all columns of df but one, whatever their names; an operator's own columns then clash with none."""
+    others = [F.col(f"`{c}`") for c in df.columns if c != but]
+    return F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the number that is set to fit the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

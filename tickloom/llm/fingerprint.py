@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parallelism, text_slices
+from .common import bound_batches, parallelism, text_slices
 
 BUCKETS, WINDOW = 256, 5
 _PAIRS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
@@ -208,4 +208,4 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edit_report(docs: DataFrame) -> DataFrame:
     """For every document its digest, its half-edited text's digest, and how alike they and the next document are."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _followed(rows).mapInArrow(_report, REPORT)
+    return _followed(bound_batches(rows)).mapInArrow(_report, REPORT)

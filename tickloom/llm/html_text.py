@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sized_batches
+from .common import bound_batches, carried, sized_batches
 
 SLICE = 1 << 16
 #: Lines over which ratios are smoothed; the share of the upper cluster's characters that a region holds; what a mark multiplies a ratio by.
@@ -291,9 +291,7 @@ def _holder(at: _Element) -> _Element:
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """row (a struct of the columns of pages but the html) and text for every row."""
-    others = [F.col(f"`{c}`") for c in pages.columns if c != html]
-    row = F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
-    rows = pages.select(F.col(f"`{html}`").alias("html"), row.alias("row"))
+    rows = bound_batches(pages.select(F.col(f"`{html}`").alias("html"), carried(pages, html).alias("row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "html"):

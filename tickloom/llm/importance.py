@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_spans, materialize, mix64, sized_batches, text_buffer, word_spans
+from .common import bound_batches, hash_spans, materialize, mix64, sized_batches, text_buffer, word_spans
 from .tally import planes, unplanes
 
 BITS = 20
@@ -145,7 +145,7 @@ def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     chosen = judged.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else ("doc_id", "text"))]).alias("row"))
     flagged = rows.join(F.broadcast(chosen), F.col("row.doc_id") == chosen["doc_id"], "left")  # `sample` rows at most
-    flagged = flagged.select("row", "label", gumbel(F.col("row.doc_id"), seed, F.col("row.text")).alias("noise"))
+    flagged = bound_batches(flagged).select("row", "label", gumbel(F.col("row.doc_id"), seed, F.col("row.text")).alias("noise"))
     counts = _counts(flagged.select("row", "label"))
     kept = rows.schema["row"].dataType if whole else T.StructType([docs.schema["doc_id"]])
 

@@ -12,12 +12,16 @@ rows: at most SAMPLE in all and PER_LANGUAGE of a language, taken by hash.
 
 Defined cases: a text without any letter, empty or null, is `und` with score 0;
 so is every text if no row can be learned from; labels of one language alone
-make that the prediction; ties go to the first language by code point.
+make that the prediction; ties go to the first language by code point. Letters are
+the characters of Unicode's category L: digits, fractions and circled or Roman numerals
+are none. A null doc_id is not held out; rows with equal doc_id and language are one
+row of the sample, and equal texts get equal predictions; a very long text is hashed
+piece by piece; an empty table gives an empty one; further columns stay, whatever their
+names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches, carried, sized_batches
+
 BITS, ORDERS = 15, (1, 2, 3, 4)
 SLOTS = 1 << BITS
 SAMPLE, PER_LANGUAGE, LANDMARKS = 4000, 400, 256
 RIDGE, SHARPNESS, SEED = 1e-3, 6.0, 23
 UNKNOWN = "und"
-#: Texts of one matrix product.
-BATCH = 128
-
-_LETTER = re.compile(r"[^\W\d_]")
+#: Texts of one matrix product, and parts of a language from which samples are taken first.
+BATCH, SPREAD = 128, 16
 
 
 def spectra(texts: list[str]) -> np.ndarray:
@@ -98,14 +102,16 @@ def fit(presence: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, rid
 
 def learn(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model | None:
     """The model of labelled rows (text, lang) of docs; None if there are none with a letter."""
-    usable = docs.filter("lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
+    usable = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
     n = usable.select("lang").distinct().count()
     if not n:
         return None
     each = max(1, min(per_language, sample // n))
     lot = F.xxhash64(F.lit(SEED), "doc_id")
-    ranked = usable.select("doc_id", "lang", lot.alias("lot")).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("lot", "doc_id")))
-    chosen = ranked.filter(F.col("k") <= each).groupBy("doc_id", "lang").agg(F.min("k").alias("k")).withColumnsRenamed({"doc_id": "chosen", "lang": "label"})
+    ranked = usable.select("doc_id", "lang", lot.alias("lot"))
+    for by in (["lang", F.pmod(F.xxhash64("lot"), F.lit(SPREAD))], ["lang"]):  # so that no task reads all rows of a language
+        ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("lot", "doc_id"))).filter(F.col("k") <= each)
+    chosen = ranked.groupBy("doc_id", "lang").agg(F.min("k").alias("k")).withColumnsRenamed({"doc_id": "chosen", "lang": "label"})
     found = usable.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("lang") == F.col("label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +129,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAG
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (a softmax of the regressions' values) in place of the text."""
-    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
-    rows = docs.select(F.col(f"`{text}`").alias("text"), others.alias("row"))
+    rows = bound_batches(docs.select(F.col(f"`{text}`").alias("text"), carried(docs, text).alias("row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = model.scorer() if model else None
-        for batch in batches:
+        for batch in sized_batches(batches, "text"):
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                named = [i for i, t in enumerate(texts) if model and _LETTER.search(t)]
+                named = [i for i, t in enumerate(texts) if model and any(map(str.isalpha, t))]
                 names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
                 if named:
                     v = SHARPNESS * values([texts[i] for i in named])

@@ -8,17 +8,20 @@ entries of the visited cells are ranked by exact distance. How many candidates
 are enough is measured: PROBED queries are answered by brute force, and the count
 that would have reached the share TARGET of their true neighbours holds for all.
 
-The codebooks are fitted on a bounded sample (SAMPLE vectors, taken by hash);
-every vector is indexed. Equal vectors are one entry that keeps the few smallest
+The codebooks are fitted on a bounded sample (SAMPLE vectors, taken by hash) and
+grow with the index, so that a cell holds HELD entries on average up to CENTROIDS a
+half; every vector is indexed. Equal vectors are one entry that keeps the few smallest
 ids which any result can need, and equal queries are searched once. Cells are
 worked on in blocks; a block with many entries or many visits is split into parts
 of bounded size, so neither a frequent vector nor a crowded cell meets in one
-task, and only each part's best rows leave it.
+task, and only each part's best rows leave it. Within a part, distances of all
+queries are one matrix product; what it puts near is measured again, exactly.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part; rows without id neither; equal rows
 count once; if there are fewer candidates than k, all are returned; ties go to
-the smaller id; an empty table gives an empty one.
+the smaller id; an empty table gives an empty one; further columns of the table are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,12 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, parallelism
 
-#: Vectors that the codebooks are fitted on, and centroids of a half, at most.
-SAMPLE, CENTROIDS = 20_000, 256
+#: Vectors that the codebooks are fitted on, and centroids of a half, at most; entries of a cell on average.
+SAMPLE, CENTROIDS, HELD = 20_000, 1024, 16
 #: Queries answered by brute force, the share of their neighbours to reach, and the fewest candidates.
 PROBED, TARGET, CANDIDATES = 64, 0.96, 2048
-#: Entries, or visits, of one part of a block of cells.
-PART = 4096
+#: Entries, or visits, of one part of a block of cells; visits of one matrix product.
+PART, CHUNK = 4096, 256
 ROUNDS, SEED = 12, 5
 
 
@@ -113,9 +116,33 @@ def distances(entries: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
 
+def near_sets(entries: np.ndarray, at: np.ndarray, queries: np.ndarray, visited: list[np.ndarray], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the entries that can be among its k nearest in the cells it visits, with their exact distances.
+
+    at: the cell of each entry. A matrix product gives squared distances up to rounding; all within that of the k-th are measured.
+    """
+    cells, place = np.unique(at, return_inverse=True)
+    norms = np.einsum("ij,ij->i", entries, entries)
+    for lo in range(0, len(queries), CHUNK):
+        part = queries[lo : lo + CHUNK]
+        own = np.einsum("ij,ij->i", part, part)
+        rough = own[:, None] + norms[None] - 2 * part @ entries.T
+        for i, q in enumerate(part):
+            open_ = np.zeros(len(cells), bool)
+            found = np.searchsorted(cells, visited[lo + i])
+            inside = found < len(cells)
+            open_[found[inside][cells[found[inside]] == visited[lo + i][inside]]] = True
+            some = np.flatnonzero(open_[place])
+            if len(some) > k:
+                row = rough[i, some]
+                slack = 1e-9 * (own[i] + norms[some].max())
+                some = some[row <= np.partition(row, k - 1)[k - 1] + slack]
+            yield some, distances(entries[some], q)
+
+
 def _one(table: pa.Table, name: str) -> pa.Array:
     column = table[name]
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def search(table: DataFrame, queries: Column, k: int = 10, ident: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
@@ -137,16 +164,15 @@ def search(table: DataFrame, queries: Column, k: int = 10, ident: str = "vec_id"
 
 def _enough(placed: DataFrame, queries: DataFrame, k: int, target: float, sums, sizes: np.ndarray) -> int:
     """Candidates that a query must see to meet `target` of its k nearest rows, measured on PROBED queries by brute force."""
-    probed = queries.orderBy(F.xxhash64("v"), "qid").limit(PROBED).collect()
-    asked = np.array([r.v for r in probed], np.float64)
+    asked = _matrix(_one(queries.orderBy(F.xxhash64("v"), "qid").limit(PROBED).select("v").toArrow(), "v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, ids, cells = _matrix(batch.column("v")), batch.column("ids").to_pylist(), batch.column("cell").to_numpy()
-            best = [nearest_rows(distances(x, q), ids, k) for q in asked] if len(x) else []
-            q = np.repeat(np.arange(len(best)), [len(e) for e, _, _ in best])
-            entry, ident, score = (np.concatenate(c) if best else np.zeros(0) for c in (zip(*best, strict=True) if best else ((), (), ())))
-            yield pa.record_batch([pa.array(q, pa.int64()), pa.array(ident, pa.int64()), pa.array(score, pa.float64()), pa.array(cells[entry.astype(int)], pa.int64())], ["q", "id", "score", "cell"])
+            every = [np.unique(cells)] * len(asked)
+            for q, (some, d) in enumerate(near_sets(x, cells, asked, every, k) if len(x) else ()):
+                entry, ident, score = nearest_rows(d, [ids[i] for i in some], k)
+                yield pa.record_batch([pa.array([q] * len(entry), pa.int64()), pa.array(ident), pa.array(score), pa.array(cells[some[entry]])], ["q", "id", "score", "cell"])
 
     near = lowest(placed.mapInArrow(run, "q long, id long, score double, cell long"), ["q"], k, [F.col("score"), F.col("id")]).select("q", "cell").toArrow()
     need = []
@@ -160,11 +186,11 @@ def _enough(placed: DataFrame, queries: DataFrame, k: int, target: float, sums,
 
 def _searched(entries: DataFrame, queries: DataFrame, k: int, target: float) -> DataFrame:
     """(qid, id, score): k nearest rows of each of the queries (qid, v) among the visited cells of the entries (v, ids)."""
-    sample = np.array([r.v for r in entries.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()], np.float64)
+    sample = _matrix(_one(entries.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow(), "v"))
     if not len(sample):
         return queries.select("qid", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)
     half, n = max(1, sample.shape[1] // 2), entries.count()
-    centroids = max(1, min(CENTROIDS, round(n**0.5)))
+    centroids = max(1, min(CENTROIDS, len(sample), round((n / HELD) ** 0.5)))
     one = kmeans(sample[:, :half], centroids)
     two = kmeans(sample[:, half:], centroids) if sample.shape[1] > half else np.zeros((1, 0))
     blocks = max(1, min(len(one), -(-n // PART)))
@@ -211,12 +237,10 @@ def _searched(entries: DataFrame, queries: DataFrame, k: int, target: float) ->
         out = [[], [], []]
         if len(a) and len(b):
             x, ids, at = _matrix(_one(a, "v")), a["ids"].to_pylist(), a["cell"].to_numpy()
-            for qid, q, cells in zip(b["qid"].to_pylist(), _matrix(_one(b, "q")), b["cells"], strict=True):
-                visited = np.zeros(len(sizes), bool)
-                visited[cells.values.to_numpy()] = True
-                some = np.flatnonzero(visited[at])
+            visited = [np.sort(cells.values.to_numpy()) for cells in b["cells"]]
+            for qid, (some, d) in zip(b["qid"].to_pylist(), near_sets(x, at, _matrix(_one(b, "q")), visited, k), strict=True):
                 if len(some):
-                    _, ident, score = nearest_rows(distances(x[some], q), [ids[i] for i in some], k)
+                    _, ident, score = nearest_rows(d, [ids[i] for i in some], k)
                     out[0] += [qid] * len(ident)
                     out[1] += ident.tolist()
                     out[2] += score.tolist()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64
+from .common import bound_batches, materialize, mix64
 
 LIMIT, END_ID = 4096, 2
 #: Documents of a group on average, and words whose ids a worker remembers.
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int | None = END_ID, pat
 
     names = ["start", "length", "ids_crc32", "doc_tokens", "deal"]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in names]])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return bound_batches(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def first_fit_decreasing(sizes: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:

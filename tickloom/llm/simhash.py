@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
-from .common import hashed_words, materialize, mix64, sized_batches, text_buffer, text_slices, window_hashes
+from .common import bound_batches, hashed_words, materialize, mix64, sized_batches, text_buffer, text_slices, window_hashes
 from .components import components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -81,7 +81,8 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
     kind = docs.schema[doc_id].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
+    rows = bound_batches(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    return rows.mapInArrow(run, schema)
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
@@ -212,7 +213,7 @@ def _printed(texts: DataFrame) -> DataFrame:
             offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARTS)
             yield pa.record_batch([batch.column("h"), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(prints.view(np.int64).ravel()))], ["h", "n", "prints"])
 
-    return texts.select("h", "text").mapInArrow(run, "h long, n long, prints array<long>")
+    return bound_batches(texts).select("h", "text").mapInArrow(run, "h long, n long, prints array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import carried, materialize, parallelism
 
 #: Buckets of documents, and ranges of keys, for each shuffle partition at most.
 BUCKETS, RANGES = 4, 8
@@ -48,14 +48,19 @@ class Dealt(NamedTuple):
         return self.rows.groupBy("b").cogroup(totals.groupBy("b")).applyInArrow(use, schema)
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """docs if its rows come from files in an order that holds when a task runs again; else a written table of them."""
+    return materialize(docs) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
 def bucketed(docs: DataFrame, text: str = "text") -> Dealt:
     """Deals all rows of docs out; copies and equal ids are spread over the buckets. Counts docs, which for files reads no texts."""
+    docs = settled(docs)
     n, partitions = docs.count(), parallelism(docs.sparkSession)
     buckets = max(1, min(BUCKETS * partitions, n // 16))
     ranges = 8 * max(1, min(RANGES * partitions, PACKED * n // buckets) // 8)
-    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
     spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets))
-    rows = docs.select(spread.alias("b"), F.col(f"`{text}`").alias("text"), others.alias("row"))
+    rows = docs.select(spread.alias("b"), F.col(f"`{text}`").alias("text"), carried(docs, text).alias("row"))
     return Dealt(rows.repartition(partitions, "b"), ranges)
 
 
