@@ -59,7 +59,7 @@ def test_prints_equal_plain_loops():
         words = sorted(set(low.split()))
         hashes = [int(hashed_words(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in words]
         for k, got in enumerate(own):
-            mixed = [int(mix64(np.array([h + (2 * k + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1], np.uint64))[0]) for h in hashes]
+            mixed = [int(mix64(np.array([(h >> 20) + (2 * k + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1], np.uint64))[0]) for h in hashes]
             assert got == sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in mixed) > len(mixed))
 
 

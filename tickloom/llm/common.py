@@ -218,9 +218,14 @@ def window_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     return mix64(acc)
 
 
+#: Rows of a batch at most.
+ROWS = 1 << 16
+
+
 def sized_batches(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text at most (one longer text is a batch of its own)."""
     for batch in batches:
         _, offsets = text_buffer(column(batch) if callable(column) else batch.column(column))
         for lo, hi in text_slices(offsets, limit):
-            yield batch.slice(lo, hi - lo)
+            for at in range(lo, hi, ROWS):
+                yield batch.slice(at, min(ROWS, hi - at))

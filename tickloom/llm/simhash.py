@@ -43,8 +43,8 @@ from .components import components
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: A bucket of more fingerprints is covered again; the last level leaves so few free positions that it needs no bound.
 SPLIT, LEVELS = 64, 3
-#: Words hashed at a time.
-PIECE = 1 << 16
+#: Words hashed at a time; fits counters of 16 bits.
+PIECE = 1 << 15
 #: Near-duplicates: words of a shingle and the similarity that links, as a fraction of integers; SimHashes of words and the radius of each.
 WORDS, LIKE, PARTS, WORD_RADIUS = 5, (4, 5), 4, 4
 #: Pairs are listed where they are at most so many a bucket row; before that leaders are compared, in ROUNDS at most.
@@ -174,14 +174,27 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
     return shared * LIKE[1] >= (len(a) + len(b) - shared) * LIKE[0]
 
 
-def _firsts(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Places of the first of equal hashes of a text, ordered by text."""
-    _, at = np.unique(mix64(hashes + text.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), return_index=True)
-    return at[np.argsort(text[at], kind="stable")]
+def _distinct(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(44 bits of each text's distinct hashes, the text of each), ordered by text."""
+    keys = np.sort(text.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
+    keys = keys[np.diff(keys, prepend=~keys[:1]) != 0]
+    return keys & np.uint64((1 << 44) - 1), (keys >> np.uint64(44)).astype(np.int64)
+
+
+def _bit_sums(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many words of each run have each of 64 bits; four counters of 16 bits are summed at a time."""
+    out = np.empty((len(starts), 4, 16), np.int64)
+    for j in range(16):
+        lanes = np.add.reduceat(words >> np.uint64(j) & np.uint64(0x0001000100010001), starts)
+        out[:, :, j] = lanes.view("<u2").reshape(-1, 4)
+    return out.reshape(-1, 64)
 
 
 def word_prints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(number of distinct shingles, PARTS SimHashes of the distinct words) of each text; nothing is longer in memory than a piece of about a megabyte, or one text."""
+    """(number of distinct shingles, PARTS SimHashes of the distinct words) of each of 2**20 texts at most.
+
+    About a megabyte of text, or one longer text, is hashed at a time. The numbers of shingles are those of their hashes.
+    """
     data, offsets = text_buffer(column)
     n = len(offsets) - 1
     sizes, prints = np.zeros(n, np.int64), np.zeros((n, PARTS), np.uint64)
@@ -190,17 +203,16 @@ def word_prints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         text = np.repeat(np.arange(hi - lo), np.diff(firsts))
         runs, inside = window_hashes(words, WORDS), text[: max(0, len(words) - WORDS + 1)] == text[WORDS - 1 :]
         owner = text[: len(inside)][inside]
-        sizes[lo:hi] = np.maximum(np.bincount(owner[_firsts(runs[inside], owner)], minlength=hi - lo), np.diff(firsts) > 0)
-        some = _firsts(words, text)
-        words, text = words[some], text[some]
-        counts = np.zeros((hi - lo, 64 * PARTS), np.int64)
+        sizes[lo:hi] = np.maximum(np.bincount(_distinct(runs[inside], owner)[1], minlength=hi - lo), np.diff(firsts) > 0)
+        words, text = _distinct(words, text)
+        counts = np.zeros((hi - lo, PARTS, 64), np.int64)
         for at in range(0, len(words), PIECE):
             piece, owner = words[at : at + PIECE], text[at : at + PIECE]
-            bits = np.column_stack([mix64(piece + np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) for k in range(PARTS)])
-            bits = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little")
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            counts[owner[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        prints[lo:hi] = np.packbits(2 * counts > np.bincount(text, minlength=hi - lo)[:, None], axis=1, bitorder="little").view(np.uint64)
+            for k in range(PARTS):
+                counts[owner[starts], k] += _bit_sums(mix64(piece + np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), starts)
+        over = 2 * counts > np.bincount(text, minlength=hi - lo)[:, None, None]
+        prints[lo:hi] = np.packbits(over, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
     return sizes, prints
 
 
@@ -268,7 +280,7 @@ def alike_links(texts: DataFrame) -> DataFrame:
         open_ = rest.groupBy("key").agg(F.min(F.struct("h", "fp")).alias("lead"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
         left = materialize(rest.join(open_.select("key", "lead"), "key").select("key", "h", "n", "fp", "lead", "root"))
     side = lambda x: left.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "n", "fp", "root")])
-    sizes = (F.col("n1") * LIKE[1] >= F.col("n2") * LIKE[0]) & (F.col("n2") * LIKE[1] >= F.col("n1") * LIKE[0])
+    sizes = ((F.col("n1") + 1) * LIKE[1] >= F.col("n2") * LIKE[0]) & ((F.col("n2") + 1) * LIKE[1] >= F.col("n1") * LIKE[0])  # + 1: numbers of hashes
     pairs = side(1).join(side(2), "key").filter((F.col("h1") < F.col("h2")) & (F.col("root1") != F.col("root2")) & sizes & _near(F.col("fp1"), F.col("fp2")))
     found = materialize(_verified(pairs.select(F.col("h1").alias("u"), F.col("h2").alias("v")).distinct(), wanted))
     return found if edges is None else edges.union(found)
