@@ -68,18 +68,33 @@ def materialize(df: DataFrame) -> DataFrame:
     with dropping_shuffles(spark):
         df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
 
 _WRITTEN: list[str] = []
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables that `materialize` gave, once nothing that is yet to run reads them."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(table.sparkSession, path)
+
+
 def discard(spark: SparkSession) -> int:
     """Deletes the tables that `materialize` has written so far; call it when results that read them are written."""
-    n, jvm = len(_WRITTEN), spark.sparkContext._jvm
+    n = len(_WRITTEN)
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     return n
 
 

@@ -5,7 +5,7 @@ MapReduce and Beyond", 2014) point every node at the smallest node it can see.
 Each step is a grouped minimum, which Spark sums up on the map side, and an
 equi-join that adaptive execution can split where one node has many neighbours.
 Each round is written to the shared folder, so neither lineage nor a lost
-executor costs more than one round.
+executor costs more than one round; tables of rounds before are deleted.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -45,4 +45,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
         state = now
-        edges = materialize(_star(_star(edges, small=False), small=True))
+        before, edges = edges, materialize(_star(_star(edges, small=False), small=True))
+        forget(before)

@@ -14,9 +14,9 @@ reduced to a spanning forest, then components are contracted on the cluster.
 `representatives` keeps one row of each group of near-duplicates: texts with a share LIKE or more of their distinct
 five-word shingles in common. A 64-bit SimHash of shingles puts such texts nine bits apart on average, which no small
 radius spans; of distinct words it puts them three bits apart. So each text gets PARTS SimHashes of its distinct words,
-each covered to WORD_RADIUS bits: two texts meet if any of them is so near, and their shingles then decide. Where buckets
-are large, members are compared with the bucket's leader first, and only pairs that no component holds yet remain; then
-every remaining pair is compared: nothing is capped.
+each covered to WORD_RADIUS bits: two texts meet if any of them is so near, and their shingles then decide. First each
+text is compared with one leader of its buckets, which makes a large group of copies one component; where buckets are
+still large, their leaders are compared with all in them; then every pair that no component holds yet: nothing is capped.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and link like any other (`representatives` has them as
 equal); a very long text is hashed piece by piece; a text of fewer words than a shingle is one shingle; rows with equal
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
-from .common import bound_batches, hashed_words, materialize, mix64, sized_batches, text_buffer, text_slices, window_hashes
+from .common import bound_batches, forget, hashed_words, materialize, mix64, sized_batches, text_buffer, text_slices, window_hashes
 from .components import components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -47,8 +47,8 @@ SPLIT, LEVELS = 64, 3
 PIECE = 1 << 15
 #: Near-duplicates: words of a shingle and the similarity that links, as a fraction of integers; SimHashes of words and the radius of each.
 WORDS, LIKE, PARTS, WORD_RADIUS = 5, (4, 5), 4, 4
-#: Pairs are listed where they are at most so many a bucket row; before that leaders are compared, in ROUNDS at most.
-DENSE, ROUNDS = 4, 4
+#: Turns in which each text meets one leader; then pairs are listed where they are at most DENSE a bucket row, or after ROUNDS of leaders that meet all.
+MEETINGS, DENSE, ROUNDS = 2, 4, 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -260,30 +260,45 @@ def alike_links(texts: DataFrame) -> DataFrame:
     keyed = keyed.select("h", "t", F.element_at("prints", F.floor(F.col("t") / n).cast("int") + 1).alias("fp"))
     keyed = keyed.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.element_at(table, F.col("t") % n + 1))).alias("key"), "h", "fp")
     shared = materialize(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key"))
-    met = materialize(keyed.join(shared, "key"))
-    leads = met.groupBy("key").agg(F.min(F.struct("h", "fp")).alias("lead"))
-    left = materialize(met.join(leads, "key").join(printed.select("h", "n"), "h"))
-    ids = left.select("h").distinct()
-    wanted = materialize(texts.groupBy("h").agg(F.first("text").alias("text")).join(ids, "h", "left_semi"))
-    edges, left = None, left.withColumn("root", F.col("h"))
-    for _ in range(ROUNDS):
-        sizes = left.groupBy("key").agg(F.count("*").alias("size"))
-        rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
-        if not rows or pairs <= DENSE * rows:
-            break
-        close = left.filter((F.col("h") != F.col("lead.h")) & _near(F.col("fp"), F.col("lead.fp")))
-        found = materialize(_verified(close.select(F.col("lead.h").alias("u"), F.col("h").alias("v")).distinct(), wanted))
-        edges = found if edges is None else edges.union(found)
-        roots = components(edges).withColumnRenamed("node", "h")
-        # the leader has met all of its bucket; a bucket whose others are in one component is done
-        rest = left.filter("h <> lead.h").select("key", "h", "n", "fp").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-        open_ = rest.groupBy("key").agg(F.min(F.struct("h", "fp")).alias("lead"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
-        left = materialize(rest.join(open_.select("key", "lead"), "key").select("key", "h", "n", "fp", "lead", "root"))
+    met = keyed.join(shared, "key").join(printed.select("h", "n"), "h")
+    left = materialize(met.select("key", "h", "n", "fp", F.col("h").alias("root")))
+    forget(printed, shared)
+    wanted = materialize(texts.groupBy("h").agg(F.first("text").alias("text")).join(left.select("h").distinct(), "h", "left_semi"))
+    edges: list[DataFrame] = []
+    for turn in range(MEETINGS + ROUNDS):
+        # a bucket's leader, another in each turn; buckets of one component are done
+        leader = F.min(F.struct(F.xxhash64(F.lit(turn), "h").alias("lot"), "h", "fp", "root")).alias("lead")
+        leads = left.groupBy("key").agg(leader, F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "lead")
+        held = left.join(leads, "key")
+        if turn >= MEETINGS:
+            sizes = held.groupBy("key").agg(F.count("*").alias("size"))
+            rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
+            if not rows or pairs <= DENSE * rows:
+                break
+        close = held.filter((F.col("root") != F.col("lead.root")) & _near(F.col("fp"), F.col("lead.fp")))
+        if turn < MEETINGS:  # each text meets one leader, so that large groups are one component before buckets are worked through
+            close = close.groupBy("h").agg(F.min("lead").alias("lead"))
+        else:  # each leader meets all of its bucket, and leaves it
+            held = held.filter("h <> lead.h")
+        found = materialize(_verified(close.select(F.col("lead.h").alias("u"), "h").withColumnRenamed("h", "v").distinct(), wanted))
+        edges.append(found)
+        roots = components(_union(edges)).withColumnRenamed("node", "h")
+        now = held.select("key", "h", "n", "fp").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+        before, left = left, materialize(now)
+        forget(before)
     side = lambda x: left.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "n", "fp", "root")])
     sizes = ((F.col("n1") + 1) * LIKE[1] >= F.col("n2") * LIKE[0]) & ((F.col("n2") + 1) * LIKE[1] >= F.col("n1") * LIKE[0])  # + 1: numbers of hashes
     pairs = side(1).join(side(2), "key").filter((F.col("h1") < F.col("h2")) & (F.col("root1") != F.col("root2")) & sizes & _near(F.col("fp1"), F.col("fp2")))
     found = materialize(_verified(pairs.select(F.col("h1").alias("u"), F.col("h2").alias("v")).distinct(), wanted))
-    return found if edges is None else edges.union(found)
+    forget(left, wanted)
+    return _union([*edges, found])
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.union(table)
+    return out
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
