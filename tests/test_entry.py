@@ -23,7 +23,11 @@ def test_imports_without_the_optional_parts(tmp_path):
     shutil.copytree(f"{ROOT}/tickloom", tmp_path / "tickloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) > 30"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=120)
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, timeout=120).returncode
+    assert run() == 0
+    # a module that is there but lacks something it needs is an error, not an absence
+    (tmp_path / "corpus_pipeline.py").write_text("import not_a_module")
+    assert run() != 0
 
 
 def test_nothing_else_imports_the_optional_parts():

@@ -67,8 +67,19 @@ def pair_key(a: Column, b: Column) -> Column:
 
 
 def partition_of(key: Column, n: int) -> Column:
-    """Partition number, 0 to n - 1, that a key belongs to."""
-    return F.pmod(F.hash(key), F.lit(n))
+    """Partition number, 0 to n - 1, that a key belongs to: 52 bits of its MD5, which any engine can recompute."""
+    return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("long") % F.lit(n)).cast("int")
+
+
+def parsed_ms(text: Column, pattern: str = "dd/MM/yyyy HH:mm:ss", offset_ms: int = 0) -> Column:
+    """Epoch milliseconds of a local date and time without zone that is offset_ms ahead of UTC; null if it does not parse."""
+    local = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{pattern} Z"))
+    return F.unix_millis(local) - F.lit(offset_ms).cast("long")
+
+
+def first_part(line: Column, separator: str = ":") -> Column:
+    """What stands before the first separator, such as the key of a printed tick."""
+    return F.split_part(line, F.lit(separator), F.lit(1))
 
 
 def state(time: Column, ask: Column, bid: Column, is_live: Column) -> Column:

@@ -8,7 +8,7 @@ before it, a key's first at its own close.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CandleConfig
@@ -17,6 +17,8 @@ from ..tables import written
 
 #: Candles from here on are flushes of an endless window (a far-future sentinel), not data.
 END_OF_TIME = 32_530_703_764_000
+#: Keys of a block that a window meets at once, and blocks that are broadcast, at most.
+BLOCK, SENT = 4096, 16
 EXTREMES = ("min_ask", "max_ask", "min_bid", "max_bid")
 
 
@@ -34,13 +36,26 @@ def seen_keys(ticks: DataFrame, cfg: CandleConfig) -> DataFrame:
     return windowed(ticks, cfg).select("start", "key").distinct()
 
 
-def silent_keys(seen: DataFrame, cfg: CandleConfig) -> DataFrame:
-    """(start, key): configured keys that are silent in a window that some key ticks in.
+def key_blocks(spark: SparkSession, cfg: CandleConfig, keys: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """((block, keys: array), number of blocks) of the keys to fill: those of the table `keys` (column key), or of cfg."""
+    if keys is None:
+        keys, known = spark.createDataFrame([(k,) for k in cfg.keys], "key string"), len(cfg.keys)
+    else:
+        keys = keys.select("key").filter("key IS NOT NULL").distinct()
+        known = keys.count()
+    n = max(1, -(-known // BLOCK))
+    return keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list("key").alias("keys")), n
 
-    Windows grow with time, not with ticks; each is paired with the configured keys by an array, not by a cross join.
+
+def silent_keys(seen: DataFrame, cfg: CandleConfig, keys: DataFrame | None = None) -> DataFrame:
+    """(start, key): keys to fill that are silent in a window that some key ticks in.
+
+    Windows grow with time, not with ticks; each meets the keys in blocks of BLOCK or so, by the block's number.
     """
-    keys = F.array(*[F.lit(k) for k in cfg.keys]) if cfg.keys else F.expr("CAST(array() AS ARRAY<STRING>)")
-    grid = seen.select("start").distinct().select("start", F.explode(keys).alias("key"))
+    blocks, n = key_blocks(seen.sparkSession, cfg, keys)
+    windows = seen.select("start").distinct().select("start", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    held = F.broadcast(blocks) if n <= SENT else blocks
+    grid = windows.join(held, "block").select("start", F.explode("keys").alias("key"))
     return grid.join(seen, ["start", "key"], "left_anti")
 
 
@@ -51,9 +66,9 @@ def generated_ticks(silent: DataFrame, cfg: CandleConfig) -> DataFrame:
     )
 
 
-def complete_ticks(ticks: DataFrame, cfg: CandleConfig) -> DataFrame:
+def complete_ticks(ticks: DataFrame, cfg: CandleConfig, keys: DataFrame | None = None) -> DataFrame:
     """Live and generated ticks together."""
-    return ticks.unionByName(generated_ticks(silent_keys(seen_keys(ticks, cfg), cfg), cfg))
+    return ticks.unionByName(generated_ticks(silent_keys(seen_keys(ticks, cfg), cfg, keys), cfg))
 
 
 def partial_candles(ticks: DataFrame, cfg: CandleConfig) -> DataFrame:
@@ -80,9 +95,9 @@ def with_close_time(candles: DataFrame, cfg: CandleConfig) -> DataFrame:
     return candles.withColumn("close_time", window_last(F.col("start"), cfg.candle_ms))
 
 
-def with_gaps(partials: DataFrame, cfg: CandleConfig) -> DataFrame:
-    """partials and, for each configured key that is silent in a window, a row without close and extremes."""
-    gaps = with_close_time(silent_keys(partials.select("start", "key"), cfg), cfg)
+def with_gaps(partials: DataFrame, cfg: CandleConfig, keys: DataFrame | None = None) -> DataFrame:
+    """partials and, for each key to fill that is silent in a window, a row without close and extremes."""
+    gaps = with_close_time(silent_keys(partials.select("start", "key"), cfg, keys), cfg)
     return partials.unionByName(gaps, allowMissingColumns=True)
 
 
@@ -99,19 +114,30 @@ def complete_candles(partials: DataFrame, cfg: CandleConfig) -> DataFrame:
     return opened.select("key", "start", "close_time", "open", "close", *[F.coalesce(c, "close").alias(c) for c in EXTREMES], "is_live")
 
 
+def checked(candles: DataFrame) -> DataFrame:
+    """The candles; a candle stamped before its own close fails the query: gaps and ticks never make one."""
+    wrong = F.raise_error(F.concat(F.lit("close_time before the close of "), F.col("key")))
+    return candles.withColumn("close_time", F.when(F.col("close_time") >= F.col("close.time"), F.col("close_time")).otherwise(wrong))
+
+
+def without_skewed(candles: DataFrame) -> DataFrame:
+    """The candles but for those stamped before their own close, for inputs that are not trusted."""
+    return candles.filter(F.col("close_time") >= F.col("close.time"))
+
+
 def before_end_of_time(candles: DataFrame) -> DataFrame:
     return candles.filter(F.col("close_time") < END_OF_TIME)
 
 
-def build_candles(ticks: DataFrame, cfg: CandleConfig, reuse: bool = True) -> DataFrame:
-    """All steps: ticks to complete candles, without flushes of an endless window.
+def build_candles(ticks: DataFrame, cfg: CandleConfig, reuse: bool = True, keys: DataFrame | None = None) -> DataFrame:
+    """All steps: ticks to complete candles, without flushes of an endless window. A table `keys` (column key) stands in for cfg.keys.
 
     With `reuse` the partial candles are written once, so that ticks are scanned once: gaps need the windows and keys
     of all candles, and later steps read candles several times. Without it all is one lazy plan.
     """
     partials = partial_candles(ticks, cfg)
     partials = written(partials) if reuse else partials
-    return before_end_of_time(complete_candles(with_gaps(partials, cfg), cfg))
+    return before_end_of_time(complete_candles(with_gaps(partials, cfg, keys), cfg))
 
 
 def flat(candles: DataFrame) -> DataFrame:

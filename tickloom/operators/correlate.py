@@ -7,13 +7,17 @@ cross join of keys.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CorrelationConfig
 from ..functions import NAN, log_ratio, pair_key, partition_of, pearson, sliding_starts, window_label, window_last
+from ..tables import written
+from . import kernel
+
+#: Series of a block, values that a task holds, and keys of a block of pairs, at most.
+SERIES, NUMBERS, BLOCK = 2048, 1 << 23, 2048
 
 
 def log_returns(candles: DataFrame) -> DataFrame:
@@ -34,15 +38,22 @@ def work_packets(points: DataFrame, cfg: CorrelationConfig) -> DataFrame:
 def configured_pairs(keys: DataFrame, n_partitions: int) -> DataFrame:
     """key1, key2, pair, part: every pair of keys (column key) once, and the partition it belongs to.
 
-    Each key is given its rank and the array of keys after it; configured keys are few.
+    Keys are dealt into blocks of BLOCK or so and pairs are joined by cells of two blocks: no task sees all keys.
     """
-    after = Window.orderBy("key").rowsBetween(1, Window.unboundedFollowing)
-    listed = keys.select("key").distinct().withColumn("others", F.collect_list("key").over(after))
-    pairs = listed.select(F.col("key").alias("key1"), F.explode("others").alias("key2"))
+    keys = keys.select("key").filter("key IS NOT NULL").distinct()
+    sent = in_cells(keys, max(1, -(-keys.count() // BLOCK)))
+    side = lambda n: sent.select("low", "high", F.col("key").alias(f"key{n}"), F.col("block").alias(f"block{n}"))
+    once = (F.col("block1") != F.col("block2")) | (F.col("low") == F.col("high"))  # both in one block meet in its own cell
+    pairs = side(1).join(side(2), ["low", "high"]).filter((F.col("key1") < F.col("key2")) & once).select("key1", "key2")
     pair = pair_key(F.col("key1"), F.col("key2"))
     return pairs.withColumn("pair", pair).withColumn("part", partition_of(F.col("pair"), n_partitions))
 
 
+def fan_out(table: DataFrame, n_partitions: int, pair: str = "pair") -> DataFrame:
+    """The rows with `part`, each partition of pairs in a task of its own."""
+    return table.withColumn("part", partition_of(F.col(pair), n_partitions)).repartition(n_partitions, "part")
+
+
 def _only(points: DataFrame, cfg: CorrelationConfig) -> DataFrame:
     if cfg.pairs == "observed":
         return points
@@ -102,64 +113,68 @@ def correlations(points: DataFrame, cfg: CorrelationConfig) -> DataFrame:
 
     A NaN that is propagated has value 1 and is_nan true.
     """
-    r = F.col("r")
-    out = [
-        window_last(F.col("w_start"), cfg.window_ms).alias("time"),
-        pair_key(F.col("key1"), F.col("key2")).alias("key"),
-        F.when(F.isnan(r), F.lit(1.0)).otherwise(r).alias("value"),
-        F.col("x_count").cast("int").alias("x_count"),
-        F.col("y_count").cast("int").alias("y_count"),
-        F.isnan(r).alias("is_nan"),
-        window_label(F.col("w_start"), cfg.window_ms).alias("window"),
-    ]
-    if cfg.include_underlying:
-        out += ["x_values", "y_values"]
-    return pair_statistics(points, cfg).filter(kept(r, cfg)).select(*out)
+    stats = pair_statistics(points, cfg).filter(kept(F.col("r"), cfg))
+    return correlation_rows(stats, cfg, ("x_values", "y_values") if cfg.include_underlying else ())
 
 
-def correlation_matrix(points: DataFrame, cfg: CorrelationConfig, blocks: int = 16) -> DataFrame:
+def _mates(block: Column, blocks: int) -> Column:
+    """The cells (low, high) that a block of series takes part in."""
+    return F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(F.least(block, i).alias("low"), F.greatest(block, i).alias("high")))
+
+
+def in_cells(points: DataFrame, blocks: int) -> DataFrame:
+    """points with `block`, a number their key is dealt to, and once for each cell (low, high) of two blocks that need it."""
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    return dealt.withColumn("cell", F.explode(_mates(F.col("block"), blocks))).select("*", "cell.low", "cell.high").drop("cell")
+
+
+def matrix_layout(points: DataFrame, cfg: CorrelationConfig) -> tuple[int, int]:
+    """(blocks of series, milliseconds of window starts that a task has), from the numbers of series and candles.
+
+    A cell holds SERIES series of a block and NUMBERS values at most; time is cut so that there are a few cells for
+    each partition, but no finer than a window where that fits, since each cut sends a window's points twice.
+    """
+    n, candles, first, last = points.agg(F.count_distinct("key"), F.count_distinct("close_time"), F.min("close_time"), F.max("close_time")).first()
+    if not n:
+        return 1, cfg.slide_ms
+    span = last - first + cfg.window_ms
+    per_ms = candles / span
+    partitions = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(cfg.window_ms, span // (4 * partitions))
+    series = max(1, min(SERIES, n, int(NUMBERS / max(1.0, per_ms * (wanted + cfg.window_ms)))))
+    wanted = min(wanted, max(cfg.slide_ms, int(NUMBERS / (series * per_ms)) - cfg.window_ms))
+    return -(-n // series), max(1, wanted // cfg.slide_ms) * cfg.slide_ms
+
+
+def correlation_matrix(points: DataFrame, cfg: CorrelationConfig, blocks: int | None = None) -> DataFrame:
     """The same as `correlations` without underlying points, for many series: blocks of series by matrix products.
 
-    Series are dealt into blocks; a task gets two blocks of one window, so each point is sent `blocks` times and no
-    task holds more than two blocks. Needs series with the same candles in a window; others follow the mismatch rule.
+    Series are dealt into blocks, as many as their number asks for; a task gets two blocks over some windows, so each
+    point is sent `blocks` times and about twice for windows, and pairs that are not kept never leave the task. Series
+    pair up if they have the same candles in a window; others follow the mismatch rule.
     """
-    points = _only(points, cfg)
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
-    mates = F.array(*[F.struct(F.least(F.col("block"), F.lit(i)).alias("low"), F.greatest(F.col("block"), F.lit(i)).alias("high")) for i in range(blocks)])
-    sent = in_sliding_windows(points, cfg).withColumn("block", block).withColumn("cell", F.explode(mates)).select("w_start", "cell.low", "cell.high", "block", "key", "close_time", "value")
-    on_error = cfg.on_mismatch == "error"
+    points = written(_only(points, cfg).select("key", "close_time", "value"))
+    own, span = matrix_layout(points, cfg)
+    blocks = blocks or own
+    time = F.col("close_time")
+    groups = F.sequence(F.floor((time - (cfg.window_ms - 1)) / span), F.floor(time / span))
+    sent = in_cells(points.withColumn("g", F.explode(groups)), blocks)
 
     def run(table: pa.Table) -> pa.Table:
-        cell = table.to_pandas()
-        low, high, start = int(cell["low"].iloc[0]), int(cell["high"].iloc[0]), int(cell["w_start"].iloc[0])
-        wide = cell.pivot(index="key", columns="close_time", values="value")
-        there = cell.assign(one=1).pivot(index="key", columns="close_time", values="one").fillna(0).to_numpy().astype(bool)
-        owner = cell.drop_duplicates("key").set_index("key")["block"].loc[wide.index].to_numpy()
-        keys, count, out = np.array(wide.index, object), there.sum(axis=1), []
-        shapes = np.unique(there, axis=0, return_inverse=True)[1].ravel()
-        if on_error and len(set(shapes.tolist())) > 1:
-            raise ValueError("unequal numbers of points")
-        for shape in range(shapes.max() + 1):  # series with points in the same candles
-            rows = np.flatnonzero(shapes == shape)
-            n = count[rows[0]]
-            if n < 2 or len(rows) < 2:
-                continue
-            x = wide.to_numpy()[rows][:, there[rows[0]]]
-            with np.errstate(invalid="ignore"):
-                x = x - x.mean(axis=1, keepdims=True)
-                spread = np.sqrt((x * x).sum(axis=1))
-                r = np.divide(x @ x.T, np.outer(spread, spread), out=np.full((len(rows),) * 2, np.nan), where=np.outer(spread, spread) != 0)
-            a, b = np.triu_indices(len(rows), 1)
-            mine = (owner[rows[a]] != owner[rows[b]]) if low != high else np.ones(len(a), bool)
-            a, b = a[mine], b[mine]
-            out.append(pa.table([pa.array([start] * len(a), pa.int64()), pa.array(keys[rows[a]], pa.string()), pa.array(keys[rows[b]], pa.string()), pa.array(r[a, b]), *[pa.array([n] * len(a), pa.int64())] * 2], names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], k) for k in kinds], names)
-
-    names = ["w_start", "key1", "key2", "r", "x_count", "y_count"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64()]
-    stats = sent.groupBy("w_start", "low", "high").applyInArrow(run, "w_start long, key1 string, key2 string, r double, x_count long, y_count long")
-    r = F.col("r")
-    return stats.withColumn("r", F.coalesce(r, F.lit(NAN))).filter(kept(r, cfg)).select(
+        table = table.combine_chunks()
+        column = lambda c: table[c].chunk(0).to_numpy(zero_copy_only=False)
+        low, high, start = (int(table[c][0].as_py()) for c in ("low", "high", "g"))
+        cell = kernel.cell_of(table["key"].chunk(0), column("block"), column("close_time"), column("value"), low, high)
+        first = -(-start * span // cfg.slide_ms) * cfg.slide_ms
+        return kernel.cell_pairs(cell, range(first, (start + 1) * span, cfg.slide_ms), cfg)
+
+    return correlation_rows(sent.groupBy("g", "low", "high").applyInArrow(run, kernel.KINDS), cfg)
+
+
+def correlation_rows(stats: DataFrame, cfg: CorrelationConfig, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs with r and counts as correlations (see `correlations`)."""
+    r = F.coalesce("r", F.lit(NAN))
+    return stats.select(
         window_last(F.col("w_start"), cfg.window_ms).alias("time"),
         pair_key(F.col("key1"), F.col("key2")).alias("key"),
         F.when(F.isnan(r), F.lit(1.0)).otherwise(r).alias("value"),
@@ -167,4 +182,5 @@ def correlation_matrix(points: DataFrame, cfg: CorrelationConfig, blocks: int =
         F.col("y_count").cast("int").alias("y_count"),
         F.isnan(r).alias("is_nan"),
         window_label(F.col("w_start"), cfg.window_ms).alias("window"),
+        *more,
     )

@@ -89,6 +89,10 @@ SELECT w_start + {size - 1} AS time, key1 || ' :: ' || key2 AS key, CASE WHEN is
   CAST(n AS INTEGER) AS x_count, CAST(n AS INTEGER) AS y_count, isnan(r) AS is_nan, {label(size)} AS "window" FROM q WHERE n >= 2 AND ({keep})"""
 
 
+def partition(key: str, n: int = 20) -> str:
+    return f"CAST(CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) % {n} AS INTEGER)"
+
+
 EVENTS = ticks()
 QUARTER = (*TYPES, "absent")
 USERS = tuple(str(i) for i in range(1, 21))
@@ -107,7 +111,11 @@ DEMO = """SELECT 'TS-' || s AS key, 1451577600000 + m * 60000 AS time, CAST(CASE
 
 ORACLES: dict[str, str] = {
     "ticks_assign_time": f"SELECT key, time, time AS ts_ms, ask, bid, id, TRUE AS is_live FROM ({EVENTS})",
-    "ticks_printed": f"SELECT key || ':' || id || ':' || time AS line FROM ({EVENTS})",
+    "ticks_printed": f"SELECT key || ':' || ask || ':' || bid || ':' || time AS line, key FROM ({EVENTS})",
+    "candles_json": candles(EVENTS, HOUR, TYPES) + " SELECT key, close_time, open_ask, close_ask, max_bid_price AS max_bid_bid FROM c",
+    "ticks_in_time": candles(EVENTS, HOUR, TYPES) + " " + FLAT,
+    "dates_parsed": f"SELECT o_orderkey, epoch_ms(date_trunc('second', o_orderdate)) - {8 * HOUR} AS ms FROM orders",
+    "random_series": "SELECT 'R-' || k AS key, 1451577600000 + i * 60000 AS time, TRUE AS sound FROM (SELECT unnest(range(5)) AS k), (SELECT unnest(range(200)) AS i)",
     "ticks_total": "SELECT count(*) AS n FROM events",
     "tumbling_count": partials(EVENTS, HOUR, TYPES) + " SELECT start, count(*) AS n_ticks FROM t GROUP BY start",
     "distinct_keys_per_window": partials(EVENTS, HOUR, TYPES) + " SELECT start, count(*) AS n_keys FROM seen GROUP BY start",
@@ -128,7 +136,11 @@ ORACLES: dict[str, str] = {
     "log_returns": HOURLY + f" SELECT key, close_time, time, {rounded('value')} AS value FROM x",
     "sliding_points": sliding(HOURLY, DAY, DAY // 4) + " SELECT w_start, key, count(*) AS n_points, min(time) AS first_time, max(time) AS last_time FROM s GROUP BY ALL",
     "work_packets": sliding(HOURLY, DAY, DAY // 4) + " SELECT w_start, key, row_number() OVER (PARTITION BY w_start, key ORDER BY time, value) - 1 AS position, time FROM s",
-    "pair_keys_configured": "SELECT a.n_name AS key1, b.n_name AS key2, a.n_name || ' :: ' || b.n_name AS pair FROM nation a JOIN nation b ON a.n_name < b.n_name",
+    "pair_keys_configured": f"SELECT key1, key2, pair, {partition('pair')} AS part FROM (SELECT a.n_name AS key1, b.n_name AS key2, a.n_name || ' :: ' || b.n_name AS pair FROM nation a JOIN nation b ON a.n_name < b.n_name)",
+    "pairs_by_partition": f"SELECT part, count(DISTINCT key) AS n_pairs, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_tasks FROM (SELECT key, {partition('key')} AS part FROM ({ALL_PAIRS})) GROUP BY part",
+    "pearson_matrix_in_blocks": correlated(HOURLY, DAY, DAY // 4, "NOT isnan(r) AND abs(r) >= 0.3"),
+    "pearson_mismatch_error": ALL_PAIRS,
+    "stream_correlations": ALL_PAIRS,
     "pair_points_observed": sliding(HOURLY, DAY, DAY // 4) + " SELECT a.w_start, a.key AS key1, b.key AS key2, count(*) AS n_points, max(a.time) AS last1, max(b.time) AS last2 FROM s a JOIN s b ON a.w_start = b.w_start AND a.close_time = b.close_time AND a.key < b.key GROUP BY ALL",
     "pearson_all_pairs": ALL_PAIRS,
     "pearson_thresholded": correlated(HOURLY, DAY, DAY // 4, "NOT isnan(r) AND abs(r) >= 0.3"),

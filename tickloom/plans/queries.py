@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..config import CandleConfig, CorrelationConfig
-from ..functions import window_last
+from ..functions import first_part, parsed_ms, window_last
 from ..operators import candles as C
 from ..operators import correlate as R
 
@@ -30,8 +30,36 @@ def ticks_assign_time(spark, sf):
 
 
 def ticks_printed(spark, sf):
+    """Lines key:ask:bid:time, and the key that each begins with."""
     ticks = sources.event_ticks(spark, sf)
-    return ticks.select(F.concat_ws(":", "key", "id", "time").alias("line"))
+    return sources.printed(ticks).select("line", first_part(F.col("line")).alias("key"))
+
+
+def candles_json(spark, sf):
+    """Candles as lines of JSON, read back by their fields."""
+    lines = sources.json_lines(C.build_candles(sources.event_ticks(spark, sf), HOURLY))
+    number = lambda path: F.get_json_object("line", path).cast("double").alias(path.strip("$.").replace(".", "_"))
+    return lines.select(F.get_json_object("line", "$.key").alias("key"), F.get_json_object("line", "$.close_time").cast("long").alias("close_time"), number("$.open.ask"), number("$.close.ask"), number("$.max_bid.bid"))
+
+
+def ticks_in_time(spark, sf):
+    """Candles after the skew guard: none is stamped before its own close."""
+    return C.flat(C.without_skewed(C.checked(C.build_candles(sources.event_ticks(spark, sf), HOURLY))))
+
+
+def dates_parsed(spark, sf):
+    """Order dates written as local text and read again as epoch milliseconds, eight hours ahead of UTC."""
+    orders = sources.parquet(spark, sf, "orders")
+    text = F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss")
+    return orders.select("o_orderkey", parsed_ms(text, offset_ms=8 * HOUR).alias("ms"))
+
+
+def random_series(spark, sf):
+    """Random control series: their ticks' times, and that prices are in [0, 1) and the same for the same seed."""
+    one, two = (sources.random_ticks(spark, tuple(f"R-{i}" for i in range(5)), 200, seed=7).withColumnsRenamed({"ask": f"ask{x}", "bid": f"bid{x}"}) for x in (1, 2))
+    both = one.join(two.select("key", "time", "ask2", "bid2"), ["key", "time"])
+    sound = (F.col("ask1") == F.col("ask2")) & (F.col("bid1") == F.col("bid2")) & F.col("ask1").between(0, 1) & F.col("bid1").between(0, 1) & (F.col("ask1") != F.col("bid1"))
+    return both.select("key", "time", sound.alias("sound"))
 
 
 def tumbling_count(spark, sf):
@@ -143,7 +171,14 @@ def work_packets(spark, sf):
 
 def pair_keys_configured(spark, sf):
     nations = sources.parquet(spark, sf, "nation").select(F.col("n_name").alias("key"))
-    return R.configured_pairs(nations, 20).select("key1", "key2", "pair")
+    return R.configured_pairs(nations, 20)
+
+
+def pairs_by_partition(spark, sf):
+    """Correlations dealt out by the partition of their pair: how many pairs each partition has, and in how many tasks."""
+    dealt = R.fan_out(R.correlations(event_returns(spark, sf), DAILY), 20, "key")
+    dealt = dealt.withColumn("task", F.spark_partition_id())
+    return dealt.groupBy("part").agg(F.count_distinct("key").alias("n_pairs"), F.count("*").alias("n_rows"), F.count_distinct("task").alias("n_tasks"))
 
 
 def pair_points_observed(spark, sf):
@@ -189,7 +224,17 @@ def pearson_by_position(spark, sf):
 
 
 def pearson_matrix(spark, sf):
-    return _rounded(R.correlation_matrix(event_returns(spark, sf), DAILY, blocks=4))
+    return _rounded(R.correlation_matrix(event_returns(spark, sf), DAILY))
+
+
+def pearson_matrix_in_blocks(spark, sf):
+    """The same with series dealt into four blocks, as where there are many."""
+    return _rounded(R.correlation_matrix(event_returns(spark, sf), replace(DAILY, min_corr=0.3, propagate_nan=False), blocks=4))
+
+
+def pearson_mismatch_error(spark, sf):
+    """Unequal numbers of points fail the query; gap fill leaves none."""
+    return _correlated(spark, sf, replace(DAILY, on_mismatch="error"))
 
 
 def pearson_underlying(spark, sf):
@@ -218,15 +263,19 @@ def sparse_user_correlations(spark, sf):
 def all_user_correlations(spark, sf):
     """Every pair of all users in the table; sparse_user_correlations has 20 configured ones."""
     ticks = sources.event_ticks(spark, sf, "user_id")
-    users = tuple(r.key for r in ticks.filter("key IS NOT NULL").select("key").distinct().orderBy("key").collect())
-    points = R.log_returns(C.build_candles(ticks, CandleConfig(candle_ms=6 * HOUR, keys=users)))
+    points = R.log_returns(C.build_candles(ticks, CandleConfig(candle_ms=6 * HOUR), keys=ticks.select("key")))
     cfg = CorrelationConfig(window_ms=4 * DAY, slide_ms=2 * DAY, min_corr=0.0, propagate_nan=True)
     return _rounded(R.correlation_matrix(points, cfg))
 
 
 def stream_candles(spark, sf):
     """Events replayed as a stream to the end; the same candles as in batch."""
-    return streaming.replay(sources.event_ticks(spark, sf), HOURLY)
+    return streaming.replayed_candles(sources.event_ticks(spark, sf), HOURLY)
+
+
+def stream_correlations(spark, sf):
+    """Events replayed as a stream through candles, returns, sliding windows and pairs; the same as in batch."""
+    return _rounded(streaming.replayed_correlations(sources.event_ticks(spark, sf), HOURLY, DAILY))
 
 
 def demo_correlations(spark, sf):
@@ -243,6 +292,6 @@ QUERIES: dict[str, Query] = {
         pearson_all_pairs, ticks_assign_time, ticks_printed, ticks_total, tumbling_count, distinct_keys_per_window, missing_keys_per_window, generated_ticks, complete_ticks_union,
         partial_candles, partial_candles_bid_ask, partial_candles_bid_by_ask, window_end_stamp, complete_candles, sparse_candles, candles_without_leading_gaps, lineitem_candles,
         orders_priority_candles, end_of_time_filter, log_returns, sliding_points, work_packets, pair_keys_configured, pair_points_observed, pearson_thresholded, pearson_nan_policy,
-        pearson_nan_dropped, pearson_partitioned, pearson_by_position, pearson_matrix, pearson_underlying, candles_by_key_sorted, corr_by_time, sparse_user_correlations, all_user_correlations, stream_candles, demo_correlations,
+        pearson_nan_dropped, pearson_partitioned, pearson_by_position, pearson_matrix, pearson_matrix_in_blocks, pearson_mismatch_error, pairs_by_partition, candles_json, ticks_in_time, dates_parsed, random_series, stream_correlations, pearson_underlying, candles_by_key_sorted, corr_by_time, sparse_user_correlations, all_user_correlations, stream_candles, demo_correlations,
     )
 }

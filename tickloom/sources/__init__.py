@@ -70,6 +70,14 @@ def demo_ticks(spark: SparkSession, seed: int = 0) -> DataFrame:
     return spark.createDataFrame(rows, TICKS)
 
 
+def random_ticks(spark: SparkSession, keys: tuple[str, ...], n: int, seed: int = 0, start: int = DEMO_START, every_ms: int = MINUTE) -> DataFrame:
+    """n ticks of each key, every_ms apart, with independent random prices in [0, 1); the same for the same seed, however it is run."""
+    names = spark.createDataFrame([(k,) for k in keys], "key string")
+    ticks = names.select("key", F.explode(F.sequence(F.lit(0), F.lit(n - 1).cast("long"))).alias("id"))
+    price = lambda salt: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(salt), "key", "id"), 11) / float(2**53)
+    return ticks.select("key", (F.lit(start) + F.col("id") * every_ms).alias("time"), price(1).alias("bid"), price(2).alias("ask"), "id", F.lit(True).alias("is_live"))
+
+
 def with_event_time(ticks: DataFrame) -> DataFrame:
     """ts: the event time as a timestamp, for watermarks."""
     return ticks.withColumn("ts", F.timestamp_millis("time"))
