@@ -66,6 +66,18 @@ def test_report_follows_order(spark):
     assert sorted(map(repr, map(tuple, got))) == brute(rows)
 
 
+def test_frequent_and_missing_ids_are_cut_by_text(spark):
+    """An id, or null, that holds a third of the rows lies in many buckets, and order is kept across them."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("abcdeé ") for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    big = 2**52 + 1
+    rows = [((big, None, big + rnd.randint(-3, 3))[i % 3], t or None) for i, t in enumerate(texts)]
+    docs = documents(spark, rows)
+    assert sorted(map(repr, map(tuple, fingerprint.edit_report(docs).collect()))) == brute(rows)
+    buckets = {r.doc_id: r for r in fingerprint._followed(docs.select("doc_id", "text")).filter("halo = 0").selectExpr("doc_id", "b").distinct().groupBy("doc_id").count().collect()}
+    assert len(buckets) == 8 and buckets[big]["count"] > 3 and buckets[None]["count"] > 3
+
+
 def test_awkward_rows(spark):
     got = fingerprint.edit_report(clashing(documents(spark, AWKWARD))).collect()
     assert sorted(map(repr, map(tuple, got))) == brute(AWKWARD)

@@ -8,9 +8,11 @@ Chen, "TLSH - A Locality Sensitive Hash", 2013). Two digests are compared by a
 score that cannot exceed MOST: the likeness is 1 - score / MOST.
 
 Defined cases: a null text is empty; texts under five bytes are padded with zero
-bytes; equal texts have equal digests. In `edit_report` documents follow each
-other by descending doc_id, null ids last and equal ids by ascending text (null
-first); a single document follows itself; an empty table gives an empty one.
+bytes; a very long text is hashed piece by piece; equal texts have equal digests. In
+`edit_report` documents follow each other by descending doc_id, null ids last and equal
+ids by ascending text (null first), so equal rows follow each other; a single document
+follows itself; an empty table gives an empty one; further columns of the input are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,37 +121,71 @@ def digest_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out).where(known, None)
 
 
+def _prefix(text: Column) -> Column:
+    """The first six bytes of a text as a number, in the order of texts; 0 for null."""
+    first = F.hex(F.encode(F.substring(text, 1, 6), "UTF-8"))
+    return F.coalesce(F.conv(F.rpad(F.substring(first, 1, 12), 12, "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
+def _cuts(keyed: DataFrame, n: int) -> tuple[np.ndarray, dict[int | None, np.ndarray]]:
+    """(doc_ids that cut the rows into 4 * n parts or so; for each id that fills a part by itself, and null, prefixes that cut its rows)."""
+    shares = [(i + 1) / (4 * n) for i in range(4 * n - 1)] or [0.5]
+    found, rows, nulls = keyed.select(F.percentile_approx(F.when(F.col("known"), F.col("id")), shares, 40 * n), F.count("*"), F.count_if(~F.col("known"))).first()
+    cuts, times = np.unique(np.array(found or [], np.int64), return_counts=True)
+    hot: list[int | None] = cuts[times > 1].tolist()
+    some = F.col("known") & F.col("id").isin(hot) if hot else F.lit(False)
+    if 4 * n * nulls > rows:
+        hot.append(None)
+        some = some | ~F.col("known")
+    edges = {}
+    if hot:
+        for r in keyed.filter(some).groupBy("known", "id").agg(F.percentile_approx("prefix", shares, 40 * n).alias("edges")).collect():
+            edges[r.id if r.known else None] = np.unique(np.array(r.edges, np.int64))
+    return cuts, edges
+
+
 def _followed(docs: DataFrame) -> DataFrame:
-    """Rows by bucket of doc_id, in order, each bucket closed by a copy of the row that follows its last (`halo`).
+    """Rows by bucket, in order, each bucket closed by a copy of the row that follows its last (`halo`).
 
-    Buckets are cut at quantiles of doc_id. Only those cut points and the first
-    id of each bucket, a few numbers per partition, reach the driver.
+    Buckets are cut at quantiles of doc_id, and within an id, or null, that holds many rows at quantiles of the texts'
+    first bytes. Only those cut points and the first key of each bucket, a few numbers per partition, reach the driver.
     """
-    spark = docs.sparkSession
-    n = parallelism(spark)
-    cuts = docs.select(F.percentile_approx("doc_id", [(i + 1) / (4 * n) for i in range(4 * n - 1)] or [0.5], 40 * n)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
-
-    @F.pandas_udf("int")
-    def bucket_of(doc_id: pd.Series) -> pd.Series:
-        """0 for the largest ids; null ids lie in a bucket after all others."""
-        known = doc_id.notna()
-        ids = pd.to_numeric(doc_id.where(known, 0)).astype("int64")
-        return pd.Series(np.where(known, len(cuts) - np.searchsorted(cuts, ids, "left"), len(cuts) + 1), dtype="int32")
-
-    found = docs.select("doc_id", bucket_of(F.col("doc_id")).alias("b")).groupBy("b").agg(F.max("doc_id").alias("first")).collect()
-    order = sorted((r.b, r.first) for r in found)
-    first: list = [None] * (len(cuts) + 2)
-    before = [0] * (len(cuts) + 2)
-    for i, (b, v) in enumerate(order):
-        first[b], before[b] = v, order[i - 1][0]
-    firsts = F.array(*[F.lit(v).cast("long") for v in first])
-    befores = F.array(*[F.lit(v) for v in before])
-    placed = docs.withColumn("b0", bucket_of(F.col("doc_id")))
-    own = F.struct(F.col("b0").alias("b"), F.lit(0).alias("halo"))
-    copy = F.struct(F.get(befores, F.col("b0")).alias("b"), F.lit(1).alias("halo"))
-    places = F.when(F.col("doc_id").eqNullSafe(F.get(firsts, F.col("b0"))), F.array(own, copy)).otherwise(F.array(own))
-    rows = placed.withColumn("place", F.explode(places)).select("place.b", "place.halo", "doc_id", "text")
+    n = parallelism(docs.sparkSession)
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNotNull().alias("known"), _prefix(F.col("text")).alias("prefix"))
+    cuts, edges = _cuts(keyed, n)
+    width = 4 * n + 1
+
+    def bucket(ids: np.ndarray, known: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """Ascending in the order of rows: largest ids first, null last; of a frequent id, rows by prefix, and then all smaller ids up to the next cut."""
+        part, within = np.where(known, len(cuts) - np.searchsorted(cuts, ids, "left"), len(cuts) + 1), np.full(len(ids), width - 1)
+        for key, steps in edges.items():
+            mine = ~known if key is None else known & (ids == key)
+            within[mine] = np.searchsorted(steps, prefix[mine], "left")
+        return part * width + within
+
+    def columns(*given: pd.Series) -> tuple[np.ndarray, ...]:
+        return tuple(c.to_numpy(k) for c, k in zip(given, (np.int64, bool, np.int64), strict=True))
+
+    @F.pandas_udf("long")
+    def bucket_of(ids: pd.Series, known: pd.Series, prefix: pd.Series) -> pd.Series:
+        return pd.Series(bucket(*columns(ids, known, prefix)))
+
+    key = ["id", "known", "prefix"]
+    first = F.min(F.struct(F.bitwise_not("id").alias("down"), "prefix")).alias("first")
+    found = sorted((r.b, ~r.first.down, r.first.prefix) for r in keyed.select(*key, bucket_of(*key).alias("b")).groupBy("b").agg(first).collect())
+    buckets, first_id, first_prefix = (np.array(c, np.int64) for c in (zip(*found, strict=True) if found else ((), (), ())))
+
+    @F.pandas_udf("array<long>")
+    def places_of(ids: pd.Series, known: pd.Series, prefix: pd.Series) -> pd.Series:
+        """The row's bucket, and the one before it if the row can be the first of its own (the last's is followed by the first's)."""
+        ids, known, prefix = columns(ids, known, prefix)
+        own = bucket(ids, known, prefix)
+        at = np.searchsorted(buckets, own)
+        leads = (first_id[at] == ids) & (first_prefix[at] == prefix)
+        return pd.Series([[o, b] if lead else [o] for o, b, lead in zip(own.tolist(), buckets[at - 1].tolist(), leads.tolist(), strict=True)])
+
+    placed = keyed.select("doc_id", "text", F.posexplode(places_of(*key)).alias("halo", "b"))
+    rows = placed.select("b", "halo", "doc_id", "text")
     return rows.repartition(n, "b").sortWithinPartitions("b", "halo", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
