@@ -34,15 +34,17 @@ def brute_weights(rows, labels):
         slots, _ = importance.features(pa.array([text]))
         own[i] = Counter(slots.tolist())
         assert sum(own[i].values()) == max(0, 2 * len(text.split()) - 1)
-    target = {i for i, q, _ in labels if q}
-    t, c = Counter(), Counter()
+    target, known = {i for i, q, _ in labels if q}, {i for i, _, _ in labels}
+    t, seen, c = Counter(), Counter(), Counter()
     for i, s in own.items():
         c.update(s)
+        if i in known:
+            seen.update(s)
         if i in target:
             t.update(s)
     f = sum(t.values()) / sum(c.values())
     a = importance.PRIOR
-    return {i: (sum(s.values()), sum(n * math.log((t[x] - n * (i in target) + a) / ((c[x] - n) * f + a)) for x, n in s.items())) for i, s in own.items()}
+    return {i: (sum(s.values()), sum(n * math.log((t[x] - n * (i in target) + a) / ((c[x] - n) * f + a)) for x, n in s.items() if seen[x] > n * (i in known))) for i, s in own.items()}
 
 
 def test_weights_match_plain_loop(spark):

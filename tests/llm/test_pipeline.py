@@ -4,7 +4,7 @@ from collections import Counter
 import corpus_pipeline
 from tickloom.llm import importance, mixing, packing
 
-from .helpers import documents
+from .helpers import clashing, documents
 from .test_packing import check_rows
 from .test_simhash import brute, brute_components
 
@@ -21,7 +21,8 @@ def test_run_equals_stages_by_hand(spark, tmp_path):
         rows.append((i, text, f"s{i % 5}"))
     rows += [(1000 + i, rows[2][1], "s9") for i in range(20)]
     docs = documents(spark, rows)
-    labels = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    # labels are a random sample of all documents, copies included, as the models take them to be
+    labels = spark.createDataFrame([(i, int(i >= 1000 or i % 7 != 0), 0) for i, _, _ in rows if rnd.random() < 0.5], "doc_id long, quality int, toxic int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
 
@@ -50,7 +51,7 @@ def test_run_equals_stages_by_hand(spark, tmp_path):
 
 
 def test_stages_keep_columns(spark, tmp_path):
-    docs = documents(spark, [(1, "a b c", "s"), (1, "a b c", "s"), (None, None, None), (2, "", "t")])
+    docs = clashing(documents(spark, [(1, "a b c", "s"), (1, "a b c", "s"), (None, None, None), (2, "", "t")]))
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for table in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:

@@ -81,13 +81,25 @@ def _delete(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def forget(*tables: DataFrame | None) -> None:
+def forget(*tables: DataFrame) -> None:
     """Deletes tables that `materialize` gave, once nothing that is yet to run reads them."""
     for table in tables:
-        path = getattr(table, "_written_to", None)
+        forget_paths(table.sparkSession, [getattr(table, "_written_to", "")])
+
+
+def forget_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         if path in _WRITTEN:
             _WRITTEN.remove(path)
-            _delete(table.sparkSession, path)
+            _delete(spark, path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """A list that has, at the end of the block, the paths of the tables written in it that are still there."""
+    before, out = set(_WRITTEN), []
+    yield out
+    out += [path for path in _WRITTEN if path not in before]
 
 
 def discard(spark: SparkSession) -> int:

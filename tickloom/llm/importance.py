@@ -4,7 +4,9 @@ Words (ASCII lower case) and word pairs are hashed into SLOTS counters. A model
 labelled documents (a bounded sample, at most `sample` of them, taken by hash) and a model of the raw text on all
 documents, every occurrence counted. A document's weight is the log ratio of its probability under the two (Xie et al.,
 "Data Selection for Language Models via Importance Resampling", 2023); the target model's counts are smoothed by
-PRIOR occurrences spread as the raw model has them, so that what the sample says nothing of weighs nothing.
+PRIOR occurrences spread as the raw model has them, and it backs off to the raw model for n-grams that no labelled
+document holds, target or other: of those the sample says nothing. Labels are taken to be a random sample of all
+documents: a large group of copies of which it has far less than its share looks like text that the target lacks.
 
 n-grams of one text depend on each other, and the sum over a long text would outweigh any noise: the ratio is tempered
 to TEMPER n-grams, as if each document held that many independent ones. Gumbel noise of scale 1, seeded by the
@@ -81,22 +83,23 @@ def _labels(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _counts(flagged: DataFrame) -> np.ndarray:
-    """Counters of the target documents and of all, summed over the cluster; 2 * SLOTS numbers reach the driver."""
+    """Counters of the target documents, of all labelled ones and of all, summed over the cluster; 3 * SLOTS numbers reach the driver."""
     width = SLOTS // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SLOTS), np.int64)
+        total = np.zeros((3, SLOTS), np.int64)
         for batch in sized_batches(batches, _text):
             slots, text = features(_text(batch))
-            target = _labels(batch) == 1
-            total[1] += np.bincount(slots, minlength=SLOTS)
-            if target.any():
-                total[0] += np.bincount(slots[target[text]], minlength=SLOTS)
+            label = _labels(batch)
+            total[2] += np.bincount(slots, minlength=SLOTS)
+            for row, some in zip(total, (label == 1, label >= 0), strict=False):
+                if some.any():
+                    row += np.bincount(slots[some[text]], minlength=SLOTS)
         parts = [planes(total[:, lo : lo + width].ravel()) for lo in range(0, SLOTS, width)]
         yield pa.record_batch([pa.array(range(RANGES)), pa.array([TaskContext.get().partitionId() % GROUPS] * RANGES), pa.array(parts, pa.binary())], ["r", "g", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(2 * width, np.int64)
+        total = np.zeros(3 * width, np.int64)
         for part in table["sums"]:
             total += unplanes(part.as_py(), "<i8")
         return pa.table([table["r"].slice(0, 1), table["g"].slice(0, 1), pa.array([planes(total)], pa.binary())], ["r", "g", "sums"])
@@ -105,27 +108,28 @@ def _counts(flagged: DataFrame) -> np.ndarray:
     sums = flagged.mapInArrow(count, kind)
     for by in (["r", "g"], ["r"]):
         sums = sums.groupBy(*by).applyInArrow(add, kind)
-    out = np.zeros((2, RANGES, width), np.int64)
+    out = np.zeros((3, RANGES, width), np.int64)
     for r in sums.select("r", "sums").toArrow().to_pylist():
-        out[:, r["r"]] = unplanes(r["sums"], "<i8").reshape(2, width)
-    return out.reshape(2, SLOTS)
+        out[:, r["r"]] = unplanes(r["sums"], "<i8").reshape(3, width)
+    return out.reshape(3, SLOTS)
 
 
 def log_weights(slots: np.ndarray, text: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of n-grams, log ratio under the two models without its own n-grams) of each text.
 
     A slot with target count t and raw count c has the ratio (t + PRIOR) / (f * c + PRIOR), where f is the target's
-    share of all occurrences: what the target model saw against what it would have seen were it the raw model.
+    share of all occurrences: what the target model saw against what it would have seen were it the raw model. It is 1
+    where no other labelled document holds the slot.
     """
     n = len(label)
-    target, raw = counts.sum(axis=1).tolist()
+    target, _, raw = counts.sum(axis=1).tolist()
     sizes = np.bincount(text, minlength=n)
     if not len(slots) or not target:
         return sizes, np.zeros(n)
     key, own = np.unique(text << BITS | slots, return_counts=True)
     text, slots = key >> BITS, key & SLOTS - 1
-    t, c = counts[0, slots] - own * (label[text] == 1), counts[1, slots] - own
-    ratio = np.log((t + PRIOR) / (c * (target / raw) + PRIOR))
+    t, seen, c = counts[0, slots] - own * (label[text] == 1), counts[1, slots] - own * (label[text] >= 0), counts[2, slots] - own
+    ratio = np.where(seen > 0, np.log((t + PRIOR) / (c * (target / raw) + PRIOR)), 0.0)
     return sizes, np.bincount(text, ratio * own, n)
 
 
