@@ -20,6 +20,18 @@ def shared_folder(spark: SparkSession) -> str | None:
     return folder.rstrip("/") if folder else None
 
 
+_WRITTEN: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that `written` has written so far; call it when results that read them are written."""
+    n, jvm = len(_WRITTEN), spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table that is computed once, however often it is read; df itself where there is no shared folder."""
     spark = df.sparkSession
@@ -28,4 +40,5 @@ def written(df: DataFrame) -> DataFrame:
         return df
     path = f"{folder}/candles-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
