@@ -109,9 +109,10 @@ def _counts(flagged: DataFrame) -> np.ndarray:
     for by in (["r", "g"], ["r"]):
         sums = sums.groupBy(*by).applyInArrow(add, kind)
     out = np.zeros((3, RANGES, width), np.int64)
-    for r in sums.select("r", "sums").toArrow().to_pylist():
-        out[:, r["r"]] = unplanes(r["sums"], "<i8").reshape(3, width)
-    return out.reshape(3, SLOTS)
+    found = sums.select("r", "sums").toArrow()
+    for r, part in zip(found["r"].to_pylist(), found["sums"], strict=True):
+        out[:, r] = unplanes(part.as_buffer(), "<i8").reshape(3, width)
+    return (out.astype(np.uint32) if out.max() < 1 << 32 else out).reshape(3, SLOTS)
 
 
 def log_weights(slots: np.ndarray, text: np.ndarray, label: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,13 +123,13 @@ def log_weights(slots: np.ndarray, text: np.ndarray, label: np.ndarray, counts:
     where no other labelled document holds the slot.
     """
     n = len(label)
-    target, _, raw = counts.sum(axis=1).tolist()
+    target, _, raw = counts.sum(axis=1, dtype=np.int64).tolist()
     sizes = np.bincount(text, minlength=n)
     if not len(slots) or not target:
         return sizes, np.zeros(n)
     key, own = np.unique(text << BITS | slots, return_counts=True)
     text, slots = key >> BITS, key & SLOTS - 1
-    t, seen, c = counts[0, slots] - own * (label[text] == 1), counts[1, slots] - own * (label[text] >= 0), counts[2, slots] - own
+    t, seen, c = (counts[i, slots].astype(np.int64) - own * mine for i, mine in enumerate((label[text] == 1, label[text] >= 0, 1)))
     ratio = np.where(seen > 0, np.log((t + PRIOR) / (c * (target / raw) + PRIOR)), 0.0)
     return sizes, np.bincount(text, ratio * own, n)
 

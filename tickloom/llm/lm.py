@@ -15,8 +15,10 @@ its own. EM works on a table of (context class, both estimates in quarters of a
 power of two), whose size is bounded whatever the corpus.
 
 Defined cases: null, empty and blank texts are one end; a null doc_id is not held
-out; without training documents all tokens are unknown; an empty table gives an
-empty one.
+out; without training documents all tokens are unknown; a very long text is hashed
+about a megabyte at a time and scored whole; equal rows, and rows that share an id, are
+documents of their own; an empty table gives an empty one; further columns are carried,
+whatever their names.
 """
 
 from __future__ import annotations

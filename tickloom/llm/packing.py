@@ -7,8 +7,9 @@ the first bin with room, which a tournament tree over the bins' free capacities
 finds in logarithmic time.
 
 Defined cases: a null text is empty and holds the end id alone; rows with the
-same doc_id are separate documents with equal pieces; a null doc_id stays null;
-an empty table gives an empty one.
+same doc_id are separate documents; a null doc_id stays null; a very long text is cut
+into pieces that may lie in different sequences; an empty table gives an empty one;
+further columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations

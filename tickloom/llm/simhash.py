@@ -264,28 +264,28 @@ def alike_links(texts: DataFrame) -> DataFrame:
     left = materialize(met.select("key", "h", "n", "fp", F.col("h").alias("root")))
     forget(printed, shared)
     wanted = materialize(texts.groupBy("h").agg(F.first("text").alias("text")).join(left.select("h").distinct(), "h", "left_semi"))
-    edges: list[DataFrame] = []
+    edges: list[DataFrame] = []  # what is linked so far, as links of each text to its component's root
     for turn in range(MEETINGS + ROUNDS):
         # a bucket's leader, another in each turn; buckets of one component are done
         leader = F.min(F.struct(F.xxhash64(F.lit(turn), "h").alias("lot"), "h", "fp", "root")).alias("lead")
         leads = left.groupBy("key").agg(leader, F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "lead")
         held = left.join(leads, "key")
-        if turn >= MEETINGS:
-            sizes = held.groupBy("key").agg(F.count("*").alias("size"))
-            rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
-            if not rows or pairs <= DENSE * rows:
-                break
+        sizes = held.groupBy("key").agg(F.count("*").alias("size"))
+        rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
+        if not rows or pairs <= DENSE * rows:
+            break
         close = held.filter((F.col("root") != F.col("lead.root")) & _near(F.col("fp"), F.col("lead.fp")))
         if turn < MEETINGS:  # each text meets one leader, so that large groups are one component before buckets are worked through
             close = close.groupBy("h").agg(F.min("lead").alias("lead"))
         else:  # each leader meets all of its bucket, and leaves it
             held = held.filter("h <> lead.h")
-        found = materialize(_verified(close.select(F.col("lead.h").alias("u"), "h").withColumnRenamed("h", "v").distinct(), wanted))
-        edges.append(found)
-        roots = components(_union(edges)).withColumnRenamed("node", "h")
+        found = materialize(_verified(close.select(F.col("lead.h").alias("u"), F.col("h").alias("v")).distinct(), wanted))
+        linked = materialize(components(_union([*edges, found])).select(F.col("node").alias("u"), F.col("root").alias("v")))
+        roots = linked.select(F.col("u").alias("h"), F.col("v").alias("root"))
         now = held.select("key", "h", "n", "fp").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
         before, left = left, materialize(now)
-        forget(before)
+        forget(before, found, *edges)
+        edges = [linked]
     side = lambda x: left.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "n", "fp", "root")])
     sizes = ((F.col("n1") + 1) * LIKE[1] >= F.col("n2") * LIKE[0]) & ((F.col("n2") + 1) * LIKE[1] >= F.col("n1") * LIKE[0])  # + 1: numbers of hashes
     pairs = side(1).join(side(2), "key").filter((F.col("h1") < F.col("h2")) & (F.col("root1") != F.col("root2")) & sizes & _near(F.col("fp1"), F.col("fp2")))

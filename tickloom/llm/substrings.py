@@ -11,13 +11,14 @@ are counted in turn; a window counted twice or more is repeated, and every word
 that a repeated window covers is removed. Windows are judged on the input.
 
 Defined cases: null, empty and blank texts have no words; texts of fewer than
-WINDOW words lose nothing; equal rows are repeats of each other; an empty table
-gives an empty one.
+WINDOW words lose nothing; a very long text is hashed about a megabyte at a time and
+kept whole; equal rows, and rows that share an id, are documents of their own and
+repeats of each other where their words are; an empty table gives an empty one; further
+columns are carried, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

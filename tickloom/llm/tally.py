@@ -96,7 +96,7 @@ def planes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
 
 
-def unplanes(raw: bytes, kind: str) -> np.ndarray:
+def unplanes(raw: bytes | pa.Buffer, kind: str) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
