@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialize, mix64
+from .common import bound_batches, materialize, mix64, sized_batches, text_buffer, word_spans
 
 LIMIT, END_ID = 4096, 2
 #: Documents of a group on average, and words whose ids a worker remembers.
 GROUP, REMEMBERED = 4096, 1_000_000
 VOCABULARY = "word_bpe_49k.json"
+#: Text whose words are told apart at a time.
+SLICE = 1 << 22
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -43,7 +45,7 @@ class WordTokenizer:
     """Ids of whole texts from ids of their words.
 
     Holds for a tokenizer that splits at white space and drops it, so that a
-    text's ids are its words' ids in order. Words are remembered as the bytes of
+    text's ids are its words' ids in order. Words are remembered with the bytes of
     their ids. A word of plain letters and closing punctuation is two units of
     the tokenizer (letters; signs), which are remembered apart.
     """
@@ -90,20 +92,58 @@ class WordTokenizer:
         for word, (unit, sign) in split.items():
             self.words[word] = self.units[unit] + self.units[sign]
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids as unsigned little-endian 32-bit numbers."""
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.words
-        missing = set().union(*split).difference(known)
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of the distinct words."""
+        missing = set(words).difference(self.words)
+        if len(self.words) + len(missing) > REMEMBERED:
+            self.words.clear()
             self.units = {"": b""}
-            missing = set().union(*split)
+            missing = set(words)
         if missing:
             self._learn(missing)
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
-
+        return list(map(self.words.__getitem__, words))
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each text's ids.
+
+        Words of a batch are told apart by their bytes themselves, of which two numbers hold 15 and the length; longer
+        ones by dictionary. What all distinct words have for ids is then put in the order of the words.
+        """
+        data, offsets = text_buffer(texts)
+        starts, ends = word_spans(data, offsets)
+        sizes = ends - starts
+        firsts = np.searchsorted(starts, offsets)  # of each text, and the end
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        eight = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        low = eight[starts] & _MASKS[np.minimum(sizes, 8)]
+        high = eight[np.minimum(starts + 8, len(data))] & _MASKS[np.clip(sizes - 8, 0, 7)] | np.minimum(sizes, 16).astype(np.uint64) << np.uint64(56)
+        long = np.flatnonzero(sizes > 15)
+        raw, numbers = data.tobytes(), {}
+        low[long] = [numbers.setdefault(raw[i:j], len(numbers)) for i, j in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        mixed = mix64(low * np.uint64(0x9E3779B97F4A7C15) + high)
+        order = np.argsort(mixed)
+        new = np.ones(len(order), bool)
+        new[1:] = np.diff(mixed[order]) != 0
+        same = np.flatnonzero(~new)
+        if (low[order[same]] != low[order[same - 1]]).any() or (high[order[same]] != high[order[same - 1]]).any():  # two words have one mix
+            order = np.lexsort((high, low))
+            new[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        kind = np.empty(len(order), np.int64)  # of each word, its place among the distinct ones
+        kind[order] = np.cumsum(new) - 1
+        some = order[new]
+        known = self._known([raw[i:j] for i, j in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+        found = np.frombuffer(b"".join(known), "<u4")
+        counts = np.array([len(k) // 4 for k in known], np.int64)
+        begins = (np.cumsum(counts) - counts)[kind]
+        counts = counts[kind]
+        edges = np.concatenate([[0], np.cumsum(counts)])
+        out = found[np.repeat(begins - edges[:-1], counts) + np.arange(edges[-1])] if edges[-1] else np.zeros(0, "<u4")
+        for lo, hi in zip(edges[firsts[:-1]].tolist(), edges[firsts[1:]].tolist(), strict=True):
+            yield out[lo:hi]
+
+
+#: Masks of the lowest 0 to 8 bytes.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
@@ -122,19 +162,17 @@ def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int | None = END_ID, pat
         own = tokenizer(path or vocabulary_path())
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         seen = 0
-        for batch in batches:
-            texts, doc, start, length, crc, tokens, deal = batch.column("text"), [], [], [], [], [], []
-            for lo in range(0, len(texts), 500):
-                part = texts.slice(lo, 500).to_pylist()
-                for i, ids in enumerate(own.ids(part), lo):
-                    ids += end
-                    n = len(ids) // 4
-                    lot = int(mix64(np.array([(TaskContext.get().partitionId() << 40) + seen], np.uint64))[0] >> np.uint64(1))
-                    seen += 1
-                    for at in range(0, n, limit):
-                        piece = ids[4 * at : 4 * (at + limit)]
-                        doc.append(i), start.append(at), length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece)), tokens.append(n), deal.append(lot)
+        for batch in sized_batches(batches, "text", SLICE):
+            doc, start, length, crc, tokens, deal = [], [], [], [], [], []
+            lots = mix64(np.uint64(TaskContext.get().partitionId() << 40) + np.arange(seen, seen + len(batch), dtype=np.uint64)) >> np.uint64(1)
+            seen += len(batch)
+            for i, (found, lot) in enumerate(zip(own.ids(batch.column("text")), lots.tolist(), strict=True)):
+                ids = found.tobytes() + end
+                n = len(ids) // 4
+                for at in range(0, n, limit):
+                    piece = ids[4 * at : 4 * (at + limit)]
+                    doc.append(i), start.append(at), length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece)), tokens.append(n), deal.append(lot)
             columns = [batch.column("doc_id").take(pa.array(doc, pa.int64())), *[pa.array(c, pa.int64()) for c in (start, length, crc, tokens, deal)]]
             yield pa.record_batch(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
 
