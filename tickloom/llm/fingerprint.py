@@ -245,3 +245,12 @@ def edit_report(docs: DataFrame) -> DataFrame:
     """For every document its digest, its half-edited text's digest, and how alike they and the next document are."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return _followed(bound_batches(rows)).mapInArrow(_report, REPORT)
+
+
+#: What SQL can say of the report: doc_id, n_chars, edited_sha256.
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), e AS (
+  SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC NULLS LAST, t), first_value(t) OVER (ORDER BY doc_id DESC NULLS LAST, t)) AS following FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(t, n - n // 2) || left(following, n // 2)) AS edited_sha256 FROM e
+"""

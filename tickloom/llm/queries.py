@@ -17,6 +17,11 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(_table(spark, sf_dir, "documents"))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_fingerprint that SQL can express: order of documents, lengths and edited texts."""
+    return op1_fingerprint(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.select(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
+    "edited_texts": edited_texts,
 }
 
-ORACLES: dict[str, str] = {"op3_substrings": substrings.REPORT_SQL, "op4_mixing": mixing.REPORT_SQL}
+ORACLES: dict[str, str] = {"op3_substrings": substrings.REPORT_SQL, "op4_mixing": mixing.REPORT_SQL, "edited_texts": fingerprint.EDITED_SQL}
