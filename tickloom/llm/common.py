@@ -7,6 +7,9 @@ byte, so words of bytes are words of characters.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import re
 import tempfile
 import uuid
@@ -245,11 +248,43 @@ def window_hashes(words: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     return mix64(acc)
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system, where the C library can: workers stay alive and idle after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimming(run: Callable) -> Callable:
+    """The function of batches, of a table or of two tables, which trims when it has ended."""
+
+    def batches(given):
+        try:
+            yield from run(given)
+        finally:
+            trim()
+
+    def table(given):
+        try:
+            return run(given)
+        finally:
+            trim()
+
+    def tables(one, two):
+        try:
+            return run(one, two)
+        finally:
+            trim()
+
+    # Spark counts the arguments
+    return batches if inspect.isgeneratorfunction(run) else table if len(inspect.signature(run).parameters) == 1 else tables
+
+
 #: Rows of a batch at most.
 ROWS = 1 << 16
 
 
-def sized_batches(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sized_batches(batches: Iterator[pa.RecordBatch], column: str | Callable[[pa.RecordBatch], pa.Array], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text at most (one longer text is a batch of its own)."""
     for batch in batches:
         _, offsets = text_buffer(column(batch) if callable(column) else batch.column(column))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, parallelism, text_slices
+from .common import bound_batches, parallelism, text_slices, trimming
 
 BUCKETS, WINDOW = 256, 5
 _PAIRS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
@@ -226,6 +226,7 @@ def _reported(held: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], REPORT.names)
 
 
+@trimming
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0

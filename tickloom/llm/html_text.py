@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, carried, sized_batches
+from .common import bound_batches, carried, sized_batches, trimming
 
 SLICE = 1 << 16
 #: Lines over which ratios are smoothed; the share of the upper cluster's characters that a region holds; what a mark multiplies a ratio by.
@@ -293,6 +293,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """row (a struct of the columns of pages but the html) and text for every row."""
     rows = bound_batches(pages.select(F.col(f"`{html}`").alias("html"), carried(pages, html).alias("row")))
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "html"):
             texts = [main_text(h.as_py()) for h in batch.column("html")]

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, hash_spans, materialize, mix64, sized_batches, text_buffer, word_spans
+from .common import bound_batches, hash_spans, materialize, mix64, sized_batches, text_buffer, trimming, word_spans
 from .tally import planes, unplanes
 
 BITS = 20
@@ -86,6 +86,7 @@ def _counts(flagged: DataFrame) -> np.ndarray:
     """Counters of the target documents, of all labelled ones and of all, summed over the cluster; 3 * SLOTS numbers reach the driver."""
     width = SLOTS // RANGES
 
+    @trimming
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, SLOTS), np.int64)
         for batch in sized_batches(batches, _text):
@@ -154,6 +155,7 @@ def weigh(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     counts = _counts(flagged.select("row", "label"))
     kept = rows.schema["row"].dataType if whole else T.StructType([docs.schema["doc_id"]])
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, _text):
             slots, text = features(_text(batch))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, carried, sized_batches
+from .common import bound_batches, carried, sized_batches, trimming
 
 BITS, ORDERS = 15, (1, 2, 3, 4)
 SLOTS = 1 << BITS
@@ -114,6 +114,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAG
     chosen = ranked.groupBy("doc_id", "lang").agg(F.min("k").alias("k")).withColumnsRenamed({"doc_id": "chosen", "lang": "label"})
     found = usable.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")) & (F.col("lang") == F.col("label")))
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH):
@@ -131,6 +132,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """docs with lang_pred and score (a softmax of the regressions' values) in place of the text."""
     rows = bound_batches(docs.select(F.col(f"`{text}`").alias("text"), carried(docs, text).alias("row")))
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = model.scorer() if model else None
         for batch in sized_batches(batches, "text"):

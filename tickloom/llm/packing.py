@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialize, mix64, sized_batches, text_buffer, word_spans
+from .common import bound_batches, materialize, mix64, sized_batches, text_buffer, trimming, word_spans
 
 LIMIT, END_ID = 4096, 2
 #: Documents of a group on average, and words whose ids a worker remembers.
@@ -158,6 +158,7 @@ def tokenizer(path: str) -> WordTokenizer:
 def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int | None = END_ID, path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and a random number `deal` for each piece of every row."""
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path or vocabulary_path())
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()

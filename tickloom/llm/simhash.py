@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
 
-from .common import bound_batches, forget, hashed_words, materialize, mix64, sized_batches, text_buffer, text_slices, window_hashes
+from .common import bound_batches, forget, hashed_words, materialize, mix64, sized_batches, text_buffer, text_slices, trimming, window_hashes
 from .components import components
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -74,6 +74,7 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for every row; fp is the 64-bit fingerprint as a signed long."""
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text"):
             fps = [simhash(t.as_py(), shingle) for t in batch.column(1)]
@@ -122,6 +123,7 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _spanning(buckets: DataFrame, radius: int) -> DataFrame:
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = [x for fps in batch.column(0) for x in _forest(np.array(fps.as_py(), np.int64), radius)]
@@ -219,6 +221,7 @@ def word_prints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _printed(texts: DataFrame) -> DataFrame:
     """h, n (distinct shingles) and prints of each row of (h, text)."""
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text"):
             sizes, prints = word_prints(batch.column("text"))
@@ -231,6 +234,7 @@ def _printed(texts: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose texts are alike."""
 
+    @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, set()  # rows of one u mostly follow each other
         for batch in batches:
@@ -272,7 +276,7 @@ def alike_links(texts: DataFrame) -> DataFrame:
         held = left.join(leads, "key")
         sizes = held.groupBy("key").agg(F.count("*").alias("size"))
         rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
-        if not rows or pairs <= DENSE * rows:
+        if not rows or turn >= MEETINGS and pairs <= DENSE * rows:
             break
         close = held.filter((F.col("root") != F.col("lead.root")) & _near(F.col("fp"), F.col("lead.fp")))
         if turn < MEETINGS:  # each text meets one leader, so that large groups are one component before buckets are worked through

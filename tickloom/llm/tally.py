@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, materialize, parallelism
+from .common import carried, materialize, parallelism, trimming
 
 #: Buckets of documents, and ranges of keys, for each shuffle partition at most.
 BUCKETS, RANGES = 4, 8
@@ -41,11 +41,11 @@ class Dealt(NamedTuple):
     def gather(self, count: Callable[[pa.Table, int], pa.Table]) -> DataFrame:
         """SENT rows of every bucket; count(documents of a bucket, number of ranges) makes them with `sent`."""
         ranges = self.ranges
-        return self.rows.groupBy("b").applyInArrow(lambda table: count(table, ranges), SENT)
+        return self.rows.groupBy("b").applyInArrow(trimming(lambda table: count(table, ranges)), SENT)
 
     def with_totals(self, totals: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
         """use(documents of a bucket, its totals) for every bucket that has documents."""
-        return self.rows.groupBy("b").cogroup(totals.groupBy("b")).applyInArrow(use, schema)
+        return self.rows.groupBy("b").cogroup(totals.groupBy("b")).applyInArrow(trimming(use), schema)
 
 
 def settled(docs: DataFrame) -> DataFrame:
@@ -112,6 +112,7 @@ def tallied(sent_rows: DataFrame, most: int | None = None, summary: bool = False
     """
     kind = "<i8" if most is None else "u1"
 
+    @trimming
     def run(table: pa.Table) -> pa.Table:
         keys, counts = _joined(table["keys"], "<u8", gaps=True), _joined(table["counts"], "<u4")
         more = _joined(table["more"], "<u4") if table["more"].null_count < len(table) else None
