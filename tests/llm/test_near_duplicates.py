@@ -98,9 +98,10 @@ def test_leaders_lose_no_link(spark, monkeypatch):
     texts = copies(random.Random(3), bases=4, each=40)
     docs = documents(spark, list(enumerate(texts)))
     want = sorted(set(brute_groups(texts)))
-    for dense, rounds in ((0, 3), (1e9, 3), (0, 1)):
-        monkeypatch.setattr(simhash, "DENSE", dense)
-        monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    for turns, leaders in ((0, 1), (1, 1), (3, 2)):
+        monkeypatch.setattr(simhash, "TURNS", turns)
+        monkeypatch.setattr(simhash, "LEADERS", leaders)
+        monkeypatch.setattr(simhash, "DENSE", 0)
         assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == want
 
 

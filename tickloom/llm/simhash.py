@@ -15,8 +15,8 @@ reduced to a spanning forest, then components are contracted on the cluster.
 five-word shingles in common. A 64-bit SimHash of shingles puts such texts nine bits apart on average, which no small
 radius spans; of distinct words it puts them three bits apart. So each text gets PARTS SimHashes of its distinct words,
 each covered to WORD_RADIUS bits: two texts meet if any of them is so near, and their shingles then decide. First each
-text is compared with one leader of its buckets, which makes a large group of copies one component; where buckets are
-still large, their leaders are compared with all in them; then every pair that no component holds yet: nothing is capped.
+text is compared with some leaders of its buckets, which makes a large group of copies one component; then every pair
+that meets and that no component holds yet is compared: nothing is capped.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and link like any other (`representatives` has them as
 equal); a very long text is hashed piece by piece; a text of fewer words than a shingle is one shingle; rows with equal
@@ -32,7 +32,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_digest
@@ -47,8 +47,8 @@ SPLIT, LEVELS = 64, 3
 PIECE = 1 << 15
 #: Near-duplicates: words of a shingle and the similarity that links, as a fraction of integers; SimHashes of words and the radius of each.
 WORDS, LIKE, PARTS, WORD_RADIUS = 5, (4, 5), 4, 4
-#: Turns in which each text meets one leader; then pairs are listed where they are at most DENSE a bucket row, or after ROUNDS of leaders that meet all.
-MEETINGS, DENSE, ROUNDS = 2, 4, 4
+#: Turns, at most, in which each text meets up to LEADERS leaders of its buckets; pairs are listed once there are at most DENSE a bucket row.
+TURNS, LEADERS, DENSE = 4, 16, 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -269,20 +269,18 @@ def alike_links(texts: DataFrame) -> DataFrame:
     forget(printed, shared)
     wanted = materialize(texts.groupBy("h").agg(F.first("text").alias("text")).join(left.select("h").distinct(), "h", "left_semi"))
     edges: list[DataFrame] = []  # what is linked so far, as links of each text to its component's root
-    for turn in range(MEETINGS + ROUNDS):
+    for turn in range(TURNS):
         # a bucket's leader, another in each turn; buckets of one component are done
         leader = F.min(F.struct(F.xxhash64(F.lit(turn), "h").alias("lot"), "h", "fp", "root")).alias("lead")
         leads = left.groupBy("key").agg(leader, F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "lead")
         held = left.join(leads, "key")
         sizes = held.groupBy("key").agg(F.count("*").alias("size"))
         rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
-        if not rows or turn >= MEETINGS and pairs <= DENSE * rows:
+        if not rows or turn and pairs <= DENSE * rows:
             break
-        close = held.filter((F.col("root") != F.col("lead.root")) & _near(F.col("fp"), F.col("lead.fp")))
-        if turn < MEETINGS:  # each text meets one leader, so that large groups are one component before buckets are worked through
-            close = close.groupBy("h").agg(F.min("lead").alias("lead"))
-        else:  # each leader meets all of its bucket, and leaves it
-            held = held.filter("h <> lead.h")
+        close = held.filter((F.col("root") != F.col("lead.root")) & _near(F.col("fp"), F.col("lead.fp"))).select("h", "lead").distinct()
+        order = Window.partitionBy("h").orderBy(F.xxhash64("h", "lead.h"))
+        close = close.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LEADERS)
         found = materialize(_verified(close.select(F.col("lead.h").alias("u"), F.col("h").alias("v")).distinct(), wanted))
         linked = materialize(components(_union([*edges, found])).select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = linked.select(F.col("u").alias("h"), F.col("v").alias("root"))
