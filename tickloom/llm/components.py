@@ -6,14 +6,24 @@ Each step is a grouped minimum, which Spark sums up on the map side, and an
 equi-join that adaptive execution can split where one node has many neighbours.
 Each round is written to the shared folder, so neither lineage nor a lost
 executor costs more than one round; tables of rounds before are deleted.
+A graph of at most LOCAL edges, before the first round or after any, is worked
+through by one task, which saves it the rounds that are left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import forget, materialize, trimming
 
-from .common import forget, materialize
+#: Edges that one task is given at most; two numbers each.
+LOCAL = 1 << 20
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -32,6 +42,30 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node of each one's component) of a graph given by its edges' ends."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (higher := root[root] != root).any():
+            root[higher] = root[root[higher]]
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    return nodes, nodes[root]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    @trimming
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[batch.column(i).to_numpy() for i in (0, 1)] for batch in batches]
+        if parts:
+            yield pa.record_batch([pa.array(x) for x in roots(*map(np.concatenate, zip(*parts, strict=True)))], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge to another; root is the smallest node of its component.
 
@@ -42,6 +76,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now[0] <= LOCAL and edges.schema["u"].dataType == T.LongType():
+            return _in_one_task(edges)
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
         state = now

@@ -14,9 +14,12 @@ reduced to a spanning forest, then components are contracted on the cluster.
 `representatives` keeps one row of each group of near-duplicates: texts with a share LIKE or more of their distinct
 five-word shingles in common. A 64-bit SimHash of shingles puts such texts nine bits apart on average, which no small
 radius spans; of distinct words it puts them three bits apart. So each text gets PARTS SimHashes of its distinct words,
-each covered to WORD_RADIUS bits: two texts meet if any of them is so near, and their shingles then decide. First each
-text is compared with some leaders of its buckets, which makes a large group of copies one component; then every pair
-that meets and that no component holds yet is compared: nothing is capped.
+each covered to WORD_RADIUS bits: two texts meet if any of them is so near, and their shingles then decide. Before that,
+shingles are counted over all distinct texts. One that no other text has is missing from any partner, so a text with more
+than a share 1 - LIKE of such ones has no partner and takes no further part, and neither does a pair that has too many of
+them together: what meets by chance goes, at a cost in proportion to the texts, and no link does. Then each text is
+compared with some leaders of its buckets, which makes a large group of copies one component; then every pair that meets
+and that no component holds yet is compared: nothing is capped.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and link like any other (`representatives` has them as
 equal); a very long text is hashed piece by piece; a text of fewer words than a shingle is one shingle; rows with equal
@@ -32,6 +35,7 @@ from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +43,7 @@ from xxhash import xxh64_digest
 
 from .common import bound_batches, forget, hashed_words, materialize, mix64, sized_batches, text_buffer, text_slices, trimming, window_hashes
 from .components import components
+from .tally import bucketed, distinct, sent, tallied, totals_of
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: A bucket of more fingerprints is covered again; the last level leaves so few free positions that it needs no bound.
@@ -47,6 +52,8 @@ SPLIT, LEVELS = 64, 3
 PIECE = 1 << 15
 #: Near-duplicates: words of a shingle and the similarity that links, as a fraction of integers; SimHashes of words and the radius of each.
 WORDS, LIKE, PARTS, WORD_RADIUS = 5, (4, 5), 4, 4
+#: Eighths of all shingles that are counted over all texts, then over those left; any part gives a bound that loses no link.
+COUNTED = (3, 8)
 #: Turns, at most, in which each text meets up to LEADERS leaders of its buckets; pairs are listed once there are at most DENSE a bucket row.
 TURNS, LEADERS, DENSE = 4, 16, 4
 
@@ -218,79 +225,147 @@ def word_prints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return sizes, prints
 
 
-def _printed(texts: DataFrame) -> DataFrame:
-    """h, n (distinct shingles) and prints of each row of (h, text)."""
+def _runs(column: pa.Array | pa.ChunkedArray, eighths: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of each text's distinct shingles, in order, the text of each, number of each text's shingles).
 
-    @trimming
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized_batches(batches, "text"):
-            sizes, prints = word_prints(batch.column("text"))
-            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARTS)
-            yield pa.record_batch([batch.column("h"), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(prints.view(np.int64).ravel()))], ["h", "n", "prints"])
-
-    return bound_batches(texts).select("h", "text").mapInArrow(run, "h long, n long, prints array<long>")
+    With less than eight eighths, hashes are those of that part of all shingles, and repeats are in the numbers.
+    """
+    data, offsets = text_buffer(column)
+    keys, owners, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(len(offsets) - 1, np.int64)
+    for lo, hi in text_slices(offsets):
+        words, firsts = hashed_words(_LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo])
+        n = np.diff(firsts)
+        text = np.repeat(np.arange(lo, hi), n)
+        runs = window_hashes(words, WORDS)
+        inside = text[: len(runs)] == text[WORDS - 1 :]
+        few = np.flatnonzero((n > 0) & (n < WORDS))  # fewer words than a shingle: one shingle
+        few_runs = [window_hashes(words[firsts[i] : firsts[i + 1]], int(n[i]), int(n[i])) for i in few]
+        hashes, text = np.concatenate([runs[inside], *few_runs]), np.concatenate([text[: len(runs)][inside], few + lo])
+        sizes[lo:hi] = np.bincount(text - lo, minlength=hi - lo)
+        if eighths < 8:
+            part = hashes & np.uint64(7) < eighths
+            hashes, text = hashes[part], text[part]
+        order = np.lexsort((hashes, text))
+        hashes, text = hashes[order], text[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+        keys.append(hashes[new])
+        owners.append(text[new])
+        if eighths == 8:
+            sizes[lo:hi] = np.bincount(text[new] - lo, minlength=hi - lo)
+    return np.concatenate(keys), np.concatenate(owners), sizes
+
+
+def _send_runs(table: pa.Table, ranges: int, eighths: int) -> pa.Table:
+    keys, _, counts, _ = distinct(_runs(table["text"], eighths)[0])
+    return sent(table["b"][0].as_py(), keys, None, np.minimum(counts, 2), ranges)
+
+
+def _with_partners(table: pa.Table, totals: pa.Table, eighths: int) -> pa.Table:
+    """h, text, n (shingles), own (those counted that no other text has) and prints of a bucket's texts that can have a partner."""
+    runs, text, sizes = _runs(table["text"], eighths)
+    _, _, _, place = distinct(runs)
+    own = np.bincount(text[totals_of(totals, "u1")[place] == 1], minlength=len(sizes))
+    stay = own * LIKE[1] <= sizes * (LIKE[1] - LIKE[0])
+    texts, left = table["text"].filter(pa.array(stay)).combine_chunks(), int(stay.sum())
+    # the last count is over few texts: only they get prints
+    prints = word_prints(texts)[1] if eighths == COUNTED[-1] else np.zeros((left, 0), np.uint64)
+    offsets = pa.array(np.arange(left + 1, dtype=np.int32) * prints.shape[1])
+    h = pc.struct_field(table["row"], "h").filter(pa.array(stay))
+    lists = pa.ListArray.from_arrays(offsets, pa.array(prints.view(np.int64).ravel()))
+    return pa.table([h, texts, pa.array(sizes[stay]), pa.array(own[stay]), lists], ["h", "text", "n", "own", "prints"])
+
+
+def with_partners(texts: DataFrame) -> DataFrame:
+    """Those of the distinct texts (h, text) that others may be alike to, as a written table with n, own and prints; loses none that has a partner."""
+    left = materialize(texts.groupBy("h").agg(F.first("text").alias("text")))
+    for eighths in COUNTED:
+        dealt = bucketed(left)
+        totals = tallied(dealt.gather(lambda table, ranges, e=eighths: _send_runs(table, ranges, e)), most=2)
+        counted = dealt.with_totals(totals, lambda table, given, e=eighths: _with_partners(table, given, e), "h long, text string, n long, own long, prints array<long>")
+        before, left = left, materialize(counted if eighths == COUNTED[-1] else counted.select("h", "text"))
+        forget(before)
+    return left
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) whose texts are alike."""
+    """Those of the pairs (u, v) whose texts are alike; hashes of their shingles refuse most of the others."""
 
     @trimming
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mine = None, set()  # rows of one u mostly follow each other
-        for batch in batches:
-            good = []
-            for u, v, a, b in zip(*[batch.column(i) for i in range(4)], strict=True):
-                if u.as_py() != at:
-                    at, mine = u.as_py(), shingles(a.as_py())
-                if alike(mine, shingles(b.as_py())):
-                    good.append((at, v.as_py()))
-            u, v = zip(*good, strict=True) if good else ((), ())
-            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        for batch in sized_batches(batches, "b"):
+            us, vs = (batch.column(i).to_numpy() for i in (0, 1))
+            # rows of one u mostly follow each other
+            new = np.diff(us, prepend=~us[:1]) != 0
+            first, mine = np.flatnonzero(new), np.cumsum(new) - 1
+            a, b = batch.column("a").take(pa.array(first)), batch.column("b")
+            (runs1, text1, _), (runs2, text2, _) = _runs(a), _runs(b)
+            cuts1, cuts2 = np.searchsorted(text1, np.arange(len(a) + 1)), np.searchsorted(text2, np.arange(len(b) + 1))
+            good, at, whole = np.zeros(len(us), bool), -1, set()
+            for i, j in enumerate(mine.tolist()):
+                one, two = runs1[cuts1[j] : cuts1[j + 1]], runs2[cuts2[i] : cuts2[i + 1]]
+                place = np.searchsorted(one, two)
+                place[place == len(one)] = 0
+                shared = int(np.count_nonzero(one[place] == two)) if len(one) else 0
+                if shared * LIKE[1] >= (len(one) + len(two) - shared) * LIKE[0]:
+                    if j != at:
+                        at, whole = j, shingles(a[j].as_py())
+                    good[i] = alike(whole, shingles(b[i].as_py()))
+            yield pa.record_batch([pa.array(us[good]), pa.array(vs[good])], ["u", "v"])
 
     side = lambda h, text: texts.select(F.col("h").alias(h), F.col("text").alias(text))
-    return pairs.join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    rows = bound_batches(pairs).join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "a", "b")
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def _near(one: Column, two: Column) -> Column:
     return F.bit_count(one.bitwiseXOR(two)) <= WORD_RADIUS
 
 
+def _may_be_alike(n1: Column, own1: Column, n2: Column, own2: Column) -> Column:
+    """False only for pairs that cannot be alike, by their numbers of shingles and of those that no other text has.
+
+    Alike are texts with (LIKE[1] + LIKE[0]) * d <= (LIKE[1] - LIKE[0]) * (n1 + n2), d being the shingles that one of them
+    lacks. Each lacks the other's own ones, and what one has more than the other follows from n1 - n2.
+    """
+    least = F.greatest(2 * own1 - n1 + n2, 2 * own2 - n2 + n1)
+    return least * (LIKE[1] + LIKE[0]) <= (n1 + n2) * (LIKE[1] - LIKE[0])
+
+
 def alike_links(texts: DataFrame) -> DataFrame:
     """(u, v): links among the distinct texts (columns h and text; rows may repeat) that span the components of the pairs that meet and are alike."""
     masks = covering_masks(list(range(64)), WORD_RADIUS)
-    printed = materialize(_printed(texts).dropDuplicates(["h"]))
+    wanted = with_partners(texts)
     table, n = F.array(*[F.lit(signed(m)) for m in masks]), len(masks)
-    keyed = printed.select("h", "prints", F.explode(F.sequence(F.lit(0), F.lit(PARTS * n - 1))).alias("t"))
-    keyed = keyed.select("h", "t", F.element_at("prints", F.floor(F.col("t") / n).cast("int") + 1).alias("fp"))
-    keyed = keyed.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.element_at(table, F.col("t") % n + 1))).alias("key"), "h", "fp")
-    shared = materialize(keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key"))
-    met = keyed.join(shared, "key").join(printed.select("h", "n"), "h")
-    left = materialize(met.select("key", "h", "n", "fp", F.col("h").alias("root")))
-    forget(printed, shared)
-    wanted = materialize(texts.groupBy("h").agg(F.first("text").alias("text")).join(left.select("h").distinct(), "h", "left_semi"))
+    keyed = wanted.select("h", "n", "own", "prints", F.explode(F.sequence(F.lit(0), F.lit(PARTS * n - 1))).alias("t"))
+    keyed = keyed.select("h", "n", "own", "t", F.element_at("prints", F.floor(F.col("t") / n).cast("int") + 1).alias("fp"))
+    keyed = keyed.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.element_at(table, F.col("t") % n + 1))).alias("key"), "h", "n", "own", "fp")
+    shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key")
+    left = materialize(keyed.join(shared, "key").withColumn("root", F.col("h")))
     edges: list[DataFrame] = []  # what is linked so far, as links of each text to its component's root
     for turn in range(TURNS):
         # a bucket's leader, another in each turn; buckets of one component are done
-        leader = F.min(F.struct(F.xxhash64(F.lit(turn), "h").alias("lot"), "h", "fp", "root")).alias("lead")
+        leader = F.min(F.struct(F.xxhash64(F.lit(turn), "h").alias("lot"), "h", "n", "own", "fp", "root")).alias("lead")
         leads = left.groupBy("key").agg(leader, F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "lead")
         held = left.join(leads, "key")
         sizes = held.groupBy("key").agg(F.count("*").alias("size"))
         rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
         if not rows or turn and pairs <= DENSE * rows:
             break
-        close = held.filter((F.col("root") != F.col("lead.root")) & _near(F.col("fp"), F.col("lead.fp"))).select("h", "lead").distinct()
-        order = Window.partitionBy("h").orderBy(F.xxhash64("h", "lead.h"))
+        may = _near(F.col("fp"), F.col("lead.fp")) & _may_be_alike(F.col("n"), F.col("own"), F.col("lead.n"), F.col("lead.own"))
+        close = held.filter((F.col("root") != F.col("lead.root")) & may).select("h", F.col("lead.h").alias("u")).distinct()
+        order = Window.partitionBy("h").orderBy(F.xxhash64("h", "u"))
         close = close.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LEADERS)
-        found = materialize(_verified(close.select(F.col("lead.h").alias("u"), F.col("h").alias("v")).distinct(), wanted))
+        found = materialize(_verified(close.select("u", F.col("h").alias("v")), wanted))
         linked = materialize(components(_union([*edges, found])).select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = linked.select(F.col("u").alias("h"), F.col("v").alias("root"))
-        now = held.select("key", "h", "n", "fp").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+        now = held.select("key", "h", "n", "own", "fp").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
         before, left = left, materialize(now)
         forget(before, found, *edges)
         edges = [linked]
-    side = lambda x: left.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "n", "fp", "root")])
-    sizes = ((F.col("n1") + 1) * LIKE[1] >= F.col("n2") * LIKE[0]) & ((F.col("n2") + 1) * LIKE[1] >= F.col("n1") * LIKE[0])  # + 1: numbers of hashes
-    pairs = side(1).join(side(2), "key").filter((F.col("h1") < F.col("h2")) & (F.col("root1") != F.col("root2")) & sizes & _near(F.col("fp1"), F.col("fp2")))
+    side = lambda x: left.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "n", "own", "fp", "root")])
+    may = _near(F.col("fp1"), F.col("fp2")) & _may_be_alike(*[F.col(c) for c in ("n1", "own1", "n2", "own2")])
+    pairs = side(1).join(side(2), "key").filter((F.col("h1") < F.col("h2")) & (F.col("root1") != F.col("root2")) & may)
     found = materialize(_verified(pairs.select(F.col("h1").alias("u"), F.col("h2").alias("v")).distinct(), wanted))
     forget(left, wanted)
     return _union([*edges, found])
