@@ -3,7 +3,10 @@
 import glob
 import random
 
+import numpy as np
+
 from tickloom.llm import common, tally
+from tickloom.llm import components as module
 from tickloom.llm.components import components
 
 from .helpers import documents
@@ -42,6 +45,22 @@ def test_chains_stars_and_odd_edges(spark):
     assert found(spark, edges) == brute(edges)
 
 
+def test_rounds_and_one_task_agree(spark, monkeypatch):
+    """Graphs over LOCAL edges take rounds on the cluster, small ones none; components are the same."""
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(90)]
+    rounds = []
+    star = module._star
+    monkeypatch.setattr(module, "_star", lambda *a, **k: rounds.append(1) or star(*a, **k))
+    assert found(spark, edges) == brute(edges) and not rounds
+    monkeypatch.setattr(module, "LOCAL", 100)
+    assert found(spark, edges) == brute(edges) and rounds
+    monkeypatch.setattr(module, "LOCAL", -1)
+    assert found(spark, edges) == brute(edges) and found(spark, []) == {}
+    nodes, roots = module.roots(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert len(nodes) == len(roots) == 0
+
+
 def test_no_edges(spark):
     assert found(spark, []) == {} == found(spark, [(1, 1)])
 

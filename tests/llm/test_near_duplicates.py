@@ -120,3 +120,46 @@ def test_ids_that_repeat_or_are_null(spark):
     one, two, three = (" ".join(f"{x}{i}" for i in range(9)) for x in "abc")
     rows = simhash.representatives(documents(spark, [(1, two), (1, one), (0, one), (None, three), (None, three)])).collect()
     assert sorted((str(r.doc_id), r.text) for r in rows) == sorted([("0", one), ("1", two), ("None", three)])
+
+
+def compared(spark, monkeypatch, texts):
+    """(doc_ids that stay, number of pairs whose texts were compared)."""
+    verified, seen = simhash._verified, []
+
+    def counting(pairs, wanted):
+        seen.append(pairs.count())
+        return verified(pairs, wanted)
+
+    monkeypatch.setattr(simhash, "_verified", counting)
+    kept = simhash.representatives(documents(spark, list(enumerate(texts)))).collect()
+    return sorted(r.doc_id for r in kept), sum(seen)
+
+
+def test_equal_words_in_other_orders_are_not_compared(spark, monkeypatch):
+    """All such texts share every bucket, but hardly a shingle: pairs do not grow with the square of their number."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rnd.sample(words, len(words))) for _ in range(60)]
+    assert compared(spark, monkeypatch, texts) == (list(range(60)), 0)
+
+
+def test_shared_shingles_of_unlike_texts_are_hardly_compared(spark, monkeypatch):
+    """Each shingle is also another text's and prints are near, so that sketches alone tell most pairs apart."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(150)]
+    halves = [[" ".join(rnd.sample(part, len(part))) for _ in range(7)] for part in (words[:75], words[75:])]
+    texts = [f"{a} {b}" for a in halves[0] for b in halves[1]]
+    kept, pairs = compared(spark, monkeypatch, texts)
+    assert kept == sorted(set(brute_groups(texts))) == list(range(49)) and pairs < 49
+
+
+def test_sketches_bound_the_difference():
+    texts = copies(random.Random(8), bases=3, each=6)
+    runs, text, sizes = simhash._runs(pa.array(texts))
+    sets = [brute_shingles(t) for t in texts]
+    assert sizes.tolist() == [len(x) for x in sets]
+    sketch = simhash.sketches(runs, text, len(texts)).view(np.uint64)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            bits = int(np.bitwise_count(sketch[i] ^ sketch[j]).sum())
+            assert bits <= len(a ^ b) and (bits - len(a ^ b)) % 2 == 0

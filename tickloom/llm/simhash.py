@@ -54,6 +54,8 @@ PIECE = 1 << 15
 WORDS, LIKE, PARTS, WORD_RADIUS = 5, (4, 5), 4, 4
 #: Eighths of all shingles that are counted over all texts, then over those left; any part gives a bound that loses no link.
 COUNTED = (3, 8)
+#: Longs of a text's sketch: bit i is the parity of its shingles whose hash falls on i.
+SKETCH = 8
 #: Turns, at most, in which each text meets up to LEADERS leaders of its buckets; pairs are listed once there are at most DENSE a bucket row.
 TURNS, LEADERS, DENSE = 4, 16, 4
 
@@ -256,33 +258,44 @@ def _runs(column: pa.Array | pa.ChunkedArray, eighths: int = 8) -> tuple[np.ndar
     return np.concatenate(keys), np.concatenate(owners), sizes
 
 
+def sketches(runs: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """SKETCH longs for each of n texts; two texts' sketches differ in no more bits than their sets of shingles in shingles."""
+    bits = 64 * SKETCH
+    place = text * bits + (runs >> np.uint64(32)).astype(np.int64) % bits
+    odd = np.bincount(place, minlength=n * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, SKETCH, 64), axis=2, bitorder="little").view(np.int64)[:, :, 0]
+
+
 def _send_runs(table: pa.Table, ranges: int, eighths: int) -> pa.Table:
     keys, _, counts, _ = distinct(_runs(table["text"], eighths)[0])
     return sent(table["b"][0].as_py(), keys, None, np.minimum(counts, 2), ranges)
 
 
 def _with_partners(table: pa.Table, totals: pa.Table, eighths: int) -> pa.Table:
-    """h, text, n (shingles), own (those counted that no other text has) and prints of a bucket's texts that can have a partner."""
+    """h, text, n (shingles), own (those counted that no other text has), prints and sketch of a bucket's texts that can have a partner."""
     runs, text, sizes = _runs(table["text"], eighths)
     _, _, _, place = distinct(runs)
     own = np.bincount(text[totals_of(totals, "u1")[place] == 1], minlength=len(sizes))
     stay = own * LIKE[1] <= sizes * (LIKE[1] - LIKE[0])
     texts, left = table["text"].filter(pa.array(stay)).combine_chunks(), int(stay.sum())
-    # the last count is over few texts: only they get prints
-    prints = word_prints(texts)[1] if eighths == COUNTED[-1] else np.zeros((left, 0), np.uint64)
-    offsets = pa.array(np.arange(left + 1, dtype=np.int32) * prints.shape[1])
+    prints = sketch = np.zeros((left, 0), np.int64)
+    if eighths == COUNTED[-1]:  # the last count is over few texts: only they get prints
+        prints, sketch = word_prints(texts)[1].view(np.int64), sketches(runs, text, len(sizes))[stay]
+    lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(left + 1, dtype=np.int32) * a.shape[1]), pa.array(a.ravel()))
     h = pc.struct_field(table["row"], "h").filter(pa.array(stay))
-    lists = pa.ListArray.from_arrays(offsets, pa.array(prints.view(np.int64).ravel()))
-    return pa.table([h, texts, pa.array(sizes[stay]), pa.array(own[stay]), lists], ["h", "text", "n", "own", "prints"])
+    return pa.table([h, texts, pa.array(sizes[stay]), pa.array(own[stay]), lists(prints), lists(sketch)], ["h", "text", "n", "own", "prints", "sketch"])
+
+
+WITH_PARTNERS = "h long, text string, n long, own long, prints array<long>, sketch array<long>"
 
 
 def with_partners(texts: DataFrame) -> DataFrame:
-    """Those of the distinct texts (h, text) that others may be alike to, as a written table with n, own and prints; loses none that has a partner."""
+    """Those of the distinct texts (h, text) that others may be alike to, as a written table with n, own, prints and sketch; loses none that has a partner."""
     left = materialize(texts.groupBy("h").agg(F.first("text").alias("text")))
     for eighths in COUNTED:
         dealt = bucketed(left)
         totals = tallied(dealt.gather(lambda table, ranges, e=eighths: _send_runs(table, ranges, e)), most=2)
-        counted = dealt.with_totals(totals, lambda table, given, e=eighths: _with_partners(table, given, e), "h long, text string, n long, own long, prints array<long>")
+        counted = dealt.with_totals(totals, lambda table, given, e=eighths: _with_partners(table, given, e), WITH_PARTNERS)
         before, left = left, materialize(counted if eighths == COUNTED[-1] else counted.select("h", "text"))
         forget(before)
     return left
@@ -322,13 +335,16 @@ def _near(one: Column, two: Column) -> Column:
     return F.bit_count(one.bitwiseXOR(two)) <= WORD_RADIUS
 
 
-def _may_be_alike(n1: Column, own1: Column, n2: Column, own2: Column) -> Column:
-    """False only for pairs that cannot be alike, by their numbers of shingles and of those that no other text has.
+def _may_be_alike(one: Column, two: Column) -> Column:
+    """False only for pairs that cannot be alike, by n, own and sketch of both (fields of structs).
 
     Alike are texts with (LIKE[1] + LIKE[0]) * d <= (LIKE[1] - LIKE[0]) * (n1 + n2), d being the shingles that one of them
-    lacks. Each lacks the other's own ones, and what one has more than the other follows from n1 - n2.
+    lacks. Each lacks the other's own ones, what one has more than the other follows from n1 - n2, and d is no less than
+    the bits in which the sketches differ.
     """
-    least = F.greatest(2 * own1 - n1 + n2, 2 * own2 - n2 + n1)
+    n1, n2 = one["n"], two["n"]
+    differ = [F.bit_count(one["sketch"][f"s{i}"].bitwiseXOR(two["sketch"][f"s{i}"])) for i in range(SKETCH)]
+    least = F.greatest(2 * one["own"] - n1 + n2, 2 * two["own"] - n2 + n1, sum(differ[1:], differ[0]).cast("long"))
     return least * (LIKE[1] + LIKE[0]) <= (n1 + n2) * (LIKE[1] - LIKE[0])
 
 
@@ -337,34 +353,35 @@ def alike_links(texts: DataFrame) -> DataFrame:
     masks = covering_masks(list(range(64)), WORD_RADIUS)
     wanted = with_partners(texts)
     table, n = F.array(*[F.lit(signed(m)) for m in masks]), len(masks)
-    keyed = wanted.select("h", "n", "own", "prints", F.explode(F.sequence(F.lit(0), F.lit(PARTS * n - 1))).alias("t"))
-    keyed = keyed.select("h", "n", "own", "t", F.element_at("prints", F.floor(F.col("t") / n).cast("int") + 1).alias("fp"))
-    keyed = keyed.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.element_at(table, F.col("t") % n + 1))).alias("key"), "h", "n", "own", "fp")
+    sketch = F.struct(*[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).alias("sketch")
+    keyed = wanted.select("h", F.struct("n", "own", sketch).alias("set"), "prints", F.explode(F.sequence(F.lit(0), F.lit(PARTS * n - 1))).alias("t"))
+    keyed = keyed.select("h", "set", "t", F.element_at("prints", F.floor(F.col("t") / n).cast("int") + 1).alias("fp"))
+    keyed = keyed.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.element_at(table, F.col("t") % n + 1))).alias("key"), "h", "set", "fp")
     shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key")
     left = materialize(keyed.join(shared, "key").withColumn("root", F.col("h")))
     edges: list[DataFrame] = []  # what is linked so far, as links of each text to its component's root
     for turn in range(TURNS):
         # a bucket's leader, another in each turn; buckets of one component are done
-        leader = F.min(F.struct(F.xxhash64(F.lit(turn), "h").alias("lot"), "h", "n", "own", "fp", "root")).alias("lead")
+        leader = F.min(F.struct(F.xxhash64(F.lit(turn), "h").alias("lot"), "h", "set", "fp", "root")).alias("lead")
         leads = left.groupBy("key").agg(leader, F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("key", "lead")
         held = left.join(leads, "key")
         sizes = held.groupBy("key").agg(F.count("*").alias("size"))
         rows, pairs = sizes.agg(F.sum("size"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2)).first()
         if not rows or turn and pairs <= DENSE * rows:
             break
-        may = _near(F.col("fp"), F.col("lead.fp")) & _may_be_alike(F.col("n"), F.col("own"), F.col("lead.n"), F.col("lead.own"))
+        may = _near(F.col("fp"), F.col("lead.fp")) & _may_be_alike(F.col("set"), F.col("lead.set"))
         close = held.filter((F.col("root") != F.col("lead.root")) & may).select("h", F.col("lead.h").alias("u")).distinct()
         order = Window.partitionBy("h").orderBy(F.xxhash64("h", "u"))
         close = close.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LEADERS)
         found = materialize(_verified(close.select("u", F.col("h").alias("v")), wanted))
         linked = materialize(components(_union([*edges, found])).select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = linked.select(F.col("u").alias("h"), F.col("v").alias("root"))
-        now = held.select("key", "h", "n", "own", "fp").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+        now = held.select("key", "h", "set", "fp").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
         before, left = left, materialize(now)
         forget(before, found, *edges)
         edges = [linked]
-    side = lambda x: left.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "n", "own", "fp", "root")])
-    may = _near(F.col("fp1"), F.col("fp2")) & _may_be_alike(*[F.col(c) for c in ("n1", "own1", "n2", "own2")])
+    side = lambda x: left.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "set", "fp", "root")])
+    may = _near(F.col("fp1"), F.col("fp2")) & _may_be_alike(F.col("set1"), F.col("set2"))
     pairs = side(1).join(side(2), "key").filter((F.col("h1") < F.col("h2")) & (F.col("root1") != F.col("root2")) & may)
     found = materialize(_verified(pairs.select(F.col("h1").alias("u"), F.col("h2").alias("v")).distinct(), wanted))
     forget(left, wanted)
